@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import bpe
+from strataform.llm import bpe, decontam
 from strataform.session import table
 
 #: The vocabulary file of `op1`; a parameter of the operator, never copied into the repository.
@@ -27,8 +27,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, tokenizer_spec()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = decontam.scan(docs, table(spark, sf_dir, "benchmark"))
+    return seen.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.item_digest(F.col("items")).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op4_decontamination": op4_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
