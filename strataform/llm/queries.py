@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import bpe, decontam, ngram_join
+from strataform.llm import bpe, decontam, linededup, ngram_join
 from strataform.session import table
 
 #: The vocabulary file of `op1`; a parameter of the operator, never copied into the repository.
@@ -33,12 +33,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.item_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.dedup_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_decontamination": op4_decontamination, "op6_ngram_join": op6_ngram_join}
+    return {"op1_bpe": op1_bpe, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
