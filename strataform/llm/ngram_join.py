@@ -11,14 +11,14 @@ A document's set holds its distinct shingles of `width` words. Two documents lin
    prefix of n - ceil(n * percent / 100) + 1; each task emits a class's prefix once.
 3. Prefix rows are dealt by shingle; a frequent shingle's rows are dealt further by a salt that
    follows its count. Rows that share a shingle make a candidate pair when the length and
-   positional filters pass. Groups of up to `small` rows give all such pairs. Larger groups give
-   pairs with a leader and with the next row only, and are set aside for step 6.
-4. Pairs are made distinct and pass the suffix filter: the number of shingles of each of 64 hash
+   positional filters pass. Pairs with the group's leaders come first. The other pairs of groups
+   of up to `small` rows, and the rows of larger groups, are set aside for step 6.
+4. Pairs are made distinct and pass the suffix filter: the number of shingles of each of 256 hash
    ranges bounds the overlap from above.
 5. Each remaining pair is verified once on the two whole sets.
-6. Links make components. The rows of large groups whose members are in different components
-   are compared in blocks, with the same filters, leaving out pairs that are connected by now;
-   what passes is verified, so no link is lost, and copies are never expanded into all pairs.
+6. Links make components. What was set aside and lies in different components is compared, large
+   groups in blocks, with the same filters; what passes is verified, so no link between
+   components is lost, and copies are never expanded into all pairs.
 
 Defined results
     null or empty text, or white space only: n_shingles 0, linked with nothing.
@@ -34,6 +34,8 @@ candidates. A Bloom filter of a fixed size keeps other documents from being read
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,12 +50,14 @@ WIDTH, PERCENT = 5, 75
 FREQUENT = 1 << 18
 #: Rows that one salt of a frequent shingle holds, about.
 SALT_ROWS = 2_000
-#: Groups of at most so many rows give all their pairs at once.
+#: Groups of at most so many rows give all their pairs.
 SMALL = 16
 #: Rows of a block in the comparison of large groups.
 BLOCK = 512
 #: Hash ranges of the suffix filter.
-RANGES = 64
+RANGES = 256
+#: Rows of a shingle that every other row of it is paired with first.
+LEADERS = 3
 _FLUSH = 4_000_000
 
 
@@ -62,12 +66,12 @@ def prefix_size(n: np.ndarray | int, percent: int):
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Shingles in each hash range, as 16-bit counts; a full counter makes the bound infinite for that range."""
-    count = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=RANGES)
-    return np.minimum(count, 65535).astype("<u2").tobytes()
+    """Shingles in each hash range, as bytes; a full counter lifts the bound."""
+    count = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
 
 
-def _texts(batches, limit: int = 4_000_000):
+def _texts(batches, limit: int = 2_000_000):
     """(ids, texts) of a few million characters at a time."""
     for b in batches:
         ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -195,7 +199,11 @@ def _groups(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pair_candidates(percent: int, small: int):
-    """Candidate pairs (kind 0) of each shingle's rows, and the rows of large groups (kind 1)."""
+    """From each shingle's rows: pairs with a leader (kind 0), the other pairs of small groups (2), rows of large groups (1).
+
+    The leaders are the rows in whose prefix the shingle comes first. In a group of near copies
+    the original has no rare shingles of its own, so it leads, and most copies link to it.
+    """
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -203,47 +211,43 @@ def _pair_candidates(percent: int, small: int):
             return
         t = pa.Table.from_batches(held)
         s, salt, c, at = (t.column(k).to_numpy() for k in ("shingle", "salt", "cid", "at"))
-        order = np.lexsort((c, at >> 32, salt, s))
+        order = np.lexsort((c, at >> 32, at & 0xFFFFFFFF, salt, s))
         s, salt, c, at = s[order], salt[order], c[order], at[order]
-        fresh = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])]  # several tasks may have emitted a class
+        fresh = np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]) | (at[1:] != at[:-1])]  # several tasks may have emitted a class
         s, salt, c, at = s[fresh], salt[fresh], c[fresh], at[fresh]
         n, i = at >> 32, at & 0xFFFFFFFF
         start, size = _groups([s, salt])
-        left, right = [], []
+        found: dict[int, list[np.ndarray]] = {0: [], 2: []}
 
-        def pair(x, y):
+        def pair(kind, x, y):
             ok = passes(n[x], i[x], n[y], i[y], percent) & (c[x] != c[y])
-            left.append(np.minimum(c[x], c[y])[ok])
-            right.append(np.maximum(c[x], c[y])[ok])
-
-        for g in range(2, small + 1):
+            x, y = c[x[ok]], c[y[ok]]
+            found[kind].append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+
+        first = np.repeat(start, size)
+        for lead in range(LEADERS):
+            rows = np.flatnonzero((np.arange(len(s)) - first > lead) & (np.repeat(size, size) > 1))
+            pair(0, first[rows] + lead, rows)
+        for g in range(LEADERS + 2, small + 1):
             of = start[size == g]
             if len(of):
                 x, y = np.triu_indices(g, 1)
-                pair((of[:, None] + x).ravel(), (of[:, None] + y).ravel())
-        large = size > small
-        for a, g in zip(start[large].tolist(), size[large].tolist(), strict=True):
-            rows = np.arange(a, a + g)
-            pair(rows[:-1], rows[1:])
-            lead = a
-            while lead < a + g:  # sorted by size: a leader serves the rows within its length bound
-                stop = a + int(np.searchsorted(n[a : a + g] * percent, 100 * n[lead], side="right"))
-                pair(np.full(stop - lead - 1, lead), np.arange(lead + 1, stop))
-                lead = max(stop, lead + 1)
-        if left:
-            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+                x, y = x[x >= LEADERS], y[x >= LEADERS]
+                pair(2, (of[:, None] + x).ravel(), (of[:, None] + y).ravel())
+        done = np.empty((0, 2), np.int64)
+        for kind, parts in found.items():
+            both = np.unique(np.concatenate(parts or [done]), axis=0)
             for k in range(0, len(both), 100_000):
                 part = both[k : k + 100_000]
-                zero = np.zeros(len(part), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32)), pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1])), pa.array(zero), pa.array(zero)], ["kind", "a", "b", "at", "salt"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1])), pa.array(np.zeros(len(part), np.int64))], ["kind", "a", "b", "at"])
         # a salted shingle is one group in truth, so its parts are set aside whatever their size
-        aside = np.repeat(large, size)
-        hot = np.isin(s, np.unique(s[salt > 0])) if (salt > 0).any() else np.zeros(len(s), bool)
-        aside |= hot
+        aside = np.repeat(size > small, size)
+        if (salt > 0).any():
+            aside |= np.isin(s, np.unique(s[salt > 0]))
         keep = np.flatnonzero(aside)
         for k in range(0, len(keep), 100_000):
             x = keep[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(s[x]), pa.array(c[x]), pa.array(at[x]), pa.array(salt[x].astype(np.int64))], ["kind", "a", "b", "at", "salt"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(s[x]), pa.array(c[x]), pa.array(at[x])], ["kind", "a", "b", "at"])
 
     return run
 
@@ -255,11 +259,11 @@ def _suffix_filter(percent: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.frombuffer(b"".join(b.column("sketch_a").to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int64)
-            y = np.frombuffer(b"".join(b.column("sketch_b").to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int64)
+            x = np.frombuffer(b"".join(b.column("sketch_a").to_pylist()), np.uint8).reshape(-1, RANGES)
+            y = np.frombuffer(b"".join(b.column("sketch_b").to_pylist()), np.uint8).reshape(-1, RANGES)
             n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
-            full = ((x == 65535) | (y == 65535)).any(axis=1)
-            keep = full | (np.minimum(x, y).sum(axis=1) * (100 + percent) >= percent * n)
+            full = ((x == 255) | (y == 255)).any(axis=1)
+            keep = full | (np.minimum(x, y).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * n)
             part = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([part.column("rep_a"), part.column("rep_b")], ["a", "b"])
 
@@ -301,7 +305,7 @@ def _block_pairs(percent: int):
             return
         t = pa.Table.from_batches(held)
         s, bi, bj, own, rep, comp, at = (t.column(k).to_numpy() for k in ("shingle", "bi", "bj", "block", "rep", "comp", "at"))
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u2").reshape(-1, RANGES).astype(np.int32)
+        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, RANGES)
         order = np.lexsort((rep, bj, bi, s))
         start, size = _groups([s[order], bi[order], bj[order]])
         found = []
@@ -315,8 +319,8 @@ def _block_pairs(percent: int):
                 n, i = at[x] >> 32, at[x] & 0xFFFFFFFF
                 y = y[passes(n, i, m, j, percent) & (comp[y] != comp[x])]
                 if len(y):
-                    full = (sk[y] == 65535).any(axis=1) | (sk[x] == 65535).any()
-                    y = y[full | (np.minimum(sk[y], sk[x]).sum(axis=1) * (100 + percent) >= percent * (n + (at[y] >> 32)))]
+                    full = (sk[y] == 255).any(axis=1) | (sk[x] == 255).any()
+                    y = y[full | (np.minimum(sk[y], sk[x]).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * (n + (at[y] >> 32)))]
                     found.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])], axis=1))
         if found:
             both = np.unique(np.concatenate(found), axis=0)
@@ -340,7 +344,7 @@ class _Join:
 
     def candidates(self) -> DataFrame:
         rows = self.profiles.filter("n > 0 and id is not null").select("hi", "lo", "n", "prefix").mapInArrow(_prefix_rows(self.freq), "shingle long, salt int, cid long, at long")
-        found = rows.repartition("shingle", "salt").mapInArrow(_pair_candidates(self.percent, self.small), "kind int, a long, b long, at long, salt long")
+        found = rows.repartition("shingle", "salt").mapInArrow(_pair_candidates(self.percent, self.small), "kind int, a long, b long, at long")
         return materialize(self.spark, found, "candidates")
 
     def verified(self, near: DataFrame, name: str) -> DataFrame:
@@ -367,18 +371,36 @@ class _Join:
         dealt = dealt.select("shingle", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "at", "sketch")
         return dealt.repartition("shingle", "bi", "bj").mapInArrow(_block_pairs(self.percent), "a long, b long").distinct()
 
+    def near(self, pairs: DataFrame, name: str, comp: DataFrame | None = None) -> DataFrame:
+        """Pairs of classes (by `hi`) as pairs of representatives, where the suffix filter passes and `comp` does not connect them yet."""
+
+        def side(k):
+            own = self.classes.select(F.col("hi").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+            if comp is None:
+                return own
+            own = own.join(comp.select(F.col("node").alias(f"rep_{k}"), F.col("component").alias(f"comp_{k}")), f"rep_{k}", "left")
+            return own.withColumn(f"comp_{k}", F.coalesce(f"comp_{k}", f"rep_{k}"))
+
+        joined = pairs.join(side("a"), "a").join(side("b"), "b").filter("rep_a <> rep_b" if comp is None else "comp_a <> comp_b")
+        return materialize(self.spark, joined.mapInArrow(_suffix_filter(self.percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
     def links(self) -> DataFrame:
         """Enough verified links (a, b) between class representatives to connect all that any links connect."""
         found = self.candidates()
-        side = lambda k: self.classes.select(F.col("hi").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-        pairs = found.filter("kind = 0").select("a", "b").distinct()
-        near = pairs.join(side("a"), "a").join(side("b"), "b").filter("rep_a <> rep_b").mapInArrow(_suffix_filter(self.percent), "a long, b long")
-        links = self.verified(materialize(self.spark, near.distinct(), "near"), "first")
-        large = found.filter("kind = 1")
-        if large.isEmpty():
-            return links
-        rest = materialize(self.spark, self.residue(large, components(self.spark, links, "a", "b")), "rest")
-        return links if rest.isEmpty() else links.union(self.verified(rest, "second"))
+        kind = lambda k: found.filter(F.col("kind") == k)
+        links = self.verified(self.near(kind(0).select("a", "b").distinct(), "near"), "first")
+        others, large = not kind(2).isEmpty(), not kind(1).isEmpty()
+        if others or large:
+            comp = components(self.spark, links, "a", "b")
+            rest = []
+            if others:
+                rest.append(self.near(kind(2).select("a", "b").distinct(), "others", comp))
+            if large:
+                rest.append(self.residue(kind(1), comp))
+            rest = materialize(self.spark, functools.reduce(DataFrame.union, rest).distinct(), "rest")
+            if not rest.isEmpty():
+                links = links.union(self.verified(rest, "second"))
+        return links
 
     def link(self) -> DataFrame:
         comp = components(self.spark, self.links(), "a", "b")

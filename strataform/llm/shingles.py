@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 22)
+        n = max(n, 1 << 21)
         for k, base in enumerate((_P, _P_INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
