@@ -39,7 +39,9 @@ from strataform.session import materialize, ship_package
 
 K, BANDS, ROWS, PERCENT = 8, 11, 3, 75
 SMALL, BLOCK = 16, 256
-_BATCH = 2_000_000
+_BATCH = 1_000_000
+#: Line keys that a task remembers so as not to emit a line's bands twice.
+_SEEN = 100_000
 
 
 def normal(line: str) -> str:
@@ -105,15 +107,6 @@ def _batches(batches, limit: int = _BATCH):
             yield ids[x:y], texts[x:y]
 
 
-def _occurrences(batches):
-    """(doc_id, line_no, hi, lo) of every line that is not blank."""
-    names = ["doc_id", "line_no", "hi", "lo"]
-    for ids, texts in _batches(batches):
-        rows = [(i, n, *key(x)) for i, t in zip(ids, texts, strict=True) if t and i is not None for n, line in enumerate(t.split("\n")) if (x := normal(line))]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
-
-
 def star(band: np.ndarray, line: np.ndarray, small: int):
     """Of rows sorted by band: pairs to compare, and which rows lie in a band of more than `small` rows.
 
@@ -139,14 +132,17 @@ def star(band: np.ndarray, line: np.ndarray, small: int):
     return pairs, large, start, size
 
 
-_KINDS = "deal long, kind int, a long, b long"
-_PAIR, _ASIDE, _ROW = 0, 1, 2
+#: Kinds of rows in the one shuffle: pairs of lines (a, b); a line b set aside for band a; a line a of
+#: band `deal` to gather; and occurrences of the line (hi a, lo b) in document c at line d.
+_KINDS = "deal long, kind int, a long, b long, c long, d long"
+_PAIR, _ASIDE, _ROW, _LINE = 0, 1, 2, 3
 
 
-def _emit(deal, kind, a, b):
-    for k in range(0, len(a), 100_000):
-        s = slice(k, k + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(deal[s])), pa.array(np.full(len(a[s]), kind, np.int32)), pa.array(np.ascontiguousarray(a[s])), pa.array(np.ascontiguousarray(b[s]))], ["deal", "kind", "a", "b"])
+def _emit(deal, kind, *cols):
+    for k in range(0, len(deal), 100_000):
+        part = [pa.array(np.ascontiguousarray(x[k : k + 100_000])) for x in (deal, *cols)]
+        none = pa.nulls(len(part[0]), pa.int64())
+        yield pa.RecordBatch.from_arrays([part[0], pa.array(np.full(len(part[0]), kind, np.int32)), *part[1:], *[none] * (5 - len(part))], ["deal", "kind", "a", "b", "c", "d"])
 
 
 def _starred(band, line, small):
@@ -170,10 +166,23 @@ def _band_rows(k: int, bands: int, rows: int, small: int):
 
     def run(batches):
         seen: set[int] = set()
-        for _, texts in _batches(batches):
-            lines = {x for t in texts if t for line in t.split("\n") if (x := normal(line))}
-            keyed = [(x, h) for x in lines if (h := key(x)[0]) not in seen]
-            if len(seen) < 2_000_000:
+        for ids, texts in _batches(batches):
+            keys: dict[str, tuple[int, int]] = {}
+            occurrences = []
+            for i, t in zip(ids, texts, strict=True):
+                for n, line in enumerate(t.split("\n") if t and i is not None else ()):
+                    if x := normal(line):
+                        own = keys.get(x)
+                        if own is None:
+                            own = keys[x] = key(x)
+                        occurrences.append((own[0], own[1], i, n))
+            if not occurrences:
+                continue
+            hi, lo, doc, number = np.array(occurrences, np.int64).T
+            # dealt by line and document, so that a very common line goes to many tasks
+            yield from _emit(shingles.mix((hi ^ doc).view(np.uint64)).view(np.int64), _LINE, hi, lo, doc, number)
+            keyed = [(x, h) for x, (h, _) in keys.items() if h not in seen]
+            if len(seen) < _SEEN:
                 seen.update(h for _, h in keyed)
             if not keyed:
                 continue
@@ -194,13 +203,14 @@ def _gather(small: int):
         if not held:
             return
         t = pa.Table.from_batches(held)
-        deal, kind, a, b = (t.column(c).to_numpy() for c in ("deal", "kind", "a", "b"))
-        band, line, pairs, large, _ = _starred(deal[kind == _ROW], a[kind == _ROW], small)
-        done = np.stack([a[kind == _PAIR], b[kind == _PAIR]], axis=1)
-        pairs = np.unique(np.concatenate([pairs, done]), axis=0)
+        kind = t.column("kind").to_numpy()
+        of = lambda k, *names: [t.column(c).filter(pa.array(kind == k)).to_numpy() for c in names]
+        band, line, pairs, large, _ = _starred(*of(_ROW, "deal", "a"), small)
+        pairs = np.unique(np.concatenate([pairs, np.stack(of(_PAIR, "a", "b"), axis=1)]), axis=0)
         yield from _emit(pairs[:, 0], _PAIR, pairs[:, 0], pairs[:, 1])
         yield from _emit(band[large], _ASIDE, band[large], line[large])
-        yield from _emit(a[kind == _ASIDE], _ASIDE, a[kind == _ASIDE], b[kind == _ASIDE])
+        yield from _emit(*(x := of(_ASIDE, "a", "b"))[:1], _ASIDE, *x)
+        yield from _emit(*(x := of(_LINE, "a", "b", "c", "d"))[:1], _LINE, *x)
 
     return run
 
@@ -277,10 +287,9 @@ def _block_links(k: int, percent: int):
     return run
 
 
-def _classes(docs: DataFrame, k: int, bands: int, rows: int, percent: int, small: int, block: int) -> DataFrame:
+def _classes(docs: DataFrame, found: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """(hi, lo, root): every class that links to another, with a number for its component."""
     spark = docs.sparkSession
-    found = materialize(spark, docs.mapInArrow(_band_rows(k, bands, rows, small), _KINDS).repartition("deal").mapInArrow(_gather(small), _KINDS), "bands")
     pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").distinct()
     aside = found.filter(F.col("kind") == _ASIDE).select(F.col("a").alias("band"), F.col("b").alias("hi")).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("hi")).union(aside.select("hi")).distinct()
@@ -314,8 +323,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     spark = docs.sparkSession
     ship_package(spark)
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    occ = materialize(spark, plain.mapInArrow(_occurrences, "doc_id long, line_no long, hi long, lo long"), "occurrences")
-    roots = materialize(spark, _classes(plain, k, bands, rows, percent, small, block), "roots")
+    found = materialize(spark, plain.mapInArrow(_band_rows(k, bands, rows, small), _KINDS).repartition("deal").mapInArrow(_gather(small), _KINDS), "bands")
+    occ = found.filter(F.col("kind") == _LINE).select(F.col("a").alias("hi"), F.col("b").alias("lo"), F.col("c").alias("doc_id"), F.col("d").alias("line_no"))
+    roots = materialize(spark, _classes(plain, found, k, percent, block), "roots")
     each = occ.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     each = materialize(spark, each.join(roots, ["hi", "lo"], "left").filter("n > 1 or root is not null"), "line_classes")
     best = materialize(spark, each.filter("root is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
