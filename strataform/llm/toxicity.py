@@ -39,7 +39,7 @@ WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
 #: Labelled rows of each kind that training reads at most, and the longest text it takes.
 SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 8_000
-WARM_STEPS, STEPS, BATCH = 200, 500, 48
+WARM_STEPS, STEPS, BATCH = 20, 250, 48
 #: Distinct words a worker keeps with their gate inputs before it starts afresh.
 CACHE_WORDS = 100_000
 _TOGETHER = 1024
@@ -113,7 +113,7 @@ class _Trainer:
         rng, size = self.rng, WORD_DIM + CHAR_DIM
         self.params = {
             "words": rng.normal(0, 0.1, (WORD_ROWS, WORD_DIM)).astype(np.float32),
-            "chars": rng.normal(0, 0.5, (CHAR_ROWS, CHAR_DIM)).astype(np.float32),
+            "chars": rng.normal(0, 0.1, (CHAR_ROWS, CHAR_DIM)).astype(np.float32),
             "wf": rng.normal(0, 0.3, (size, 3 * hidden)).astype(np.float32),
             "wb": rng.normal(0, 0.3, (size, 3 * hidden)).astype(np.float32),
             "uf": gru.orthogonal(rng, hidden),
@@ -128,6 +128,24 @@ class _Trainer:
         self.docs = [np.array([codes[w] for w in words(t)], np.int64) for t in texts]
         self.whole, self.grams, self.bounds = features(list(codes)) if codes else (np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64))
         self.of = [[k for k, y in enumerate(labels) if y == c and len(self.docs[k])] for c in (0, 1)]
+        if codes:
+            self._start_from_counts()
+
+    def _start_from_counts(self) -> None:
+        """Each table's first column starts at the cautious log odds of its rows between the two labels.
+
+        Of a row's log odds only what exceeds 1.64 standard errors counts, so that what few
+        documents have starts near 0.
+        """
+        total = np.array([len(x) for x in self.of], np.float64)[:, None]
+        for key, rows_of in (("words", lambda d: self.whole[d]), ("chars", lambda d: np.concatenate([self.grams[self.bounds[w] : self.bounds[w + 1]] for w in d]))):
+            seen = np.zeros((2, len(self.params[key])))
+            for c in (0, 1):
+                for k in self.of[c]:
+                    seen[c, np.unique(rows_of(np.unique(self.docs[k])))] += 1
+            odds = np.log((seen[1] + 1) / (total[1] + 2)) - np.log((seen[0] + 1) / (total[0] + 2))
+            error = 1.64 * np.sqrt(1 / (seen[0] + 1) + 1 / (seen[1] + 1))
+            self.params[key][:, 0] = np.sign(odds) * np.maximum(np.abs(odds) - error, 0)
 
     def window(self, k: int, at: int) -> np.ndarray:
         return self.docs[k][at : at + WINDOW]
