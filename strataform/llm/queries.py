@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import bpe, decontam, langid, linededup, ngram_join, toxicity
+from strataform.llm import bpe, decontam, langid, linededup, media, ngram_join, toxicity
 from strataform.session import table
 
 #: The vocabulary file of `op1`; a parameter of the operator, never copied into the repository.
@@ -27,6 +27,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, tokenizer_spec()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.restore(*media.store(table(spark, sf_dir, "documents")))
+    return read.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen = decontam.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -63,7 +68,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id}
+    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
