@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import bpe, decontam, langid, linededup, media, ngram_join, toxicity
+from strataform.llm import bpe, chat, decontam, langid, licences, linededup, media, ngram_join, toxicity
 from strataform.session import table
 
 #: The vocabulary file of `op1`; a parameter of the operator, never copied into the repository.
@@ -60,6 +60,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations")).withColumn("spans", chat.span_text("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(*langid.sample(docs.filter(~langid.held_out(F.col("doc_id")))))
@@ -67,9 +71,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.coalesce(F.array_max(F.transform("spots", lambda s: s.percent)), F.lit(0))
+    return found.select("doc_id", "n_windows", F.concat_ws(",", "licences").alias("licences"), F.size("spots").cast("long").alias("n_spots"), best.alias("best_percent"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op9_language_id": op9_language_id}
+    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_chat": op8_chat, "op9_language_id": op9_language_id, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat": chat.SQL}
