@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import bpe, chat, decontam, langid, licences, linededup, media, ngram_join, toxicity
+from strataform.llm import bpe, chat, decontam, langid, licences, linededup, media, ngram_join, suffixdedup, toxicity
 from strataform.session import table
 
 #: The vocabulary file of `op1`; a parameter of the operator, never copied into the repository.
@@ -27,6 +27,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, tokenizer_spec()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.repeats(table(spark, sf_dir, "documents"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
+    shown = F.array_join(F.transform("spans", lambda s: F.concat(s.start.cast("string"), F.lit("-"), s.stop.cast("string"))), ",")
+    return found.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), covered.alias("n_repeated"), shown.alias("spans"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.restore(*media.store(table(spark, sf_dir, "documents")))
     return read.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -78,7 +85,7 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_media": op3_media, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_chat": op8_chat, "op9_language_id": op9_language_id, "op10_licences": op10_licences}
+    return {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_media": op3_media, "op4_decontamination": op4_decontamination, "op5_line_dedup": op5_line_dedup, "op6_ngram_join": op6_ngram_join, "op7_toxicity": op7_toxicity, "op8_chat": op8_chat, "op9_language_id": op9_language_id, "op10_licences": op10_licences}
 
 
 def oracle_sql() -> dict[str, str]:
