@@ -188,7 +188,7 @@ def _band_rows(k: int, bands: int, rows: int, small: int):
                 continue
             band = band_keys([x for x, _ in keyed], k, bands, rows).ravel().view(np.int64)
             band, line, pairs, large, on = _starred(band, np.repeat(np.array([h for _, h in keyed]), bands), small)
-            yield from _emit(band[on], _ROW, line[on], line[on])
+            yield from _emit(band[on], _ROW, line[on])
             a, b = pairs[:, 0], pairs[:, 1]
             known = np.isin(a, line[large]) & np.isin(b, line[large]) if large.any() else np.zeros(len(a), bool)
             yield from _emit((a ^ b)[known], _PAIR, a[known], b[known])  # pairs of small bands come from the task that gathers the band
@@ -243,15 +243,16 @@ def _key_bits(batches):
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([np.packbits(parts[p], bitorder="little").tobytes() for p in rows], pa.binary())], ["part", "bits"])
 
 
-def _verify(k: int, percent: int):
+def _verify(k: int, percent: int, at_once: int = 500):
     def run(batches):
-        for b in batches:
-            x, y = b.column("line_a").to_pylist(), b.column("line_b").to_pylist()
-            g, at = grams([*x, *y], k) if x else (np.empty(0, np.uint64), np.zeros(1, np.int64))
-            n = len(x)
-            sets = [np.unique(g[at[i] : at[i + 1]]) for i in range(2 * n)]
-            part = b.filter(pa.array([similar(sets[i], sets[n + i], percent) for i in range(n)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("a", "a_lo", "b", "b_lo")], ["a", "a_lo", "b", "b_lo"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, at_once):
+                b = whole.slice(i, at_once)
+                n = b.num_rows
+                g, at = grams([*b.column("line_a").to_pylist(), *b.column("line_b").to_pylist()], k)
+                sets = [np.unique(g[at[j] : at[j + 1]]) for j in range(2 * n)]
+                part = b.filter(pa.array([similar(sets[j], sets[n + j], percent) for j in range(n)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("a", "a_lo", "b", "b_lo")], ["a", "a_lo", "b", "b_lo"])
 
     return run
 
