@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "funnel"
+import importlib
+import pkgutil
+
+from strataform import plans
+from strataform.plans.query import ORACLES, QUERIES
+
+FLAGSHIP = "A25_funnel"
+
+for _module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__) if m.name.startswith("q_")):
+    importlib.import_module(f"strataform.plans.{_module}")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
