@@ -8,8 +8,8 @@ each; a medium is an ordered list of digests, and is rebuilt by joining that lis
 chunks and checking the medium's own digest.
 
 Equal media share one list: lists are made distinct by media digest before chunks are joined, and
-features return to documents by that digest. Both are plain joins of two written tables, which
-adaptive execution can split at a hot digest; most media have one chunk and need no regrouping.
+features return to documents by that digest. Chunks are deduplicated and joined under one shuffle
+by digest; most media have one chunk and need no regrouping.
 
 Defined results
     null or empty text: a payload of 576 bytes 255 (n_bytes 0).
@@ -170,17 +170,19 @@ def _chunks(least: int, average: int, most: int):
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(media, chunks), both written in the shared folder.
+    """(media, chunks).
 
-    media: a row for each document: id, n_bytes, media digest, and the ordered chunk digests (null
-    where an equal medium of the same task has them). chunks: each distinct chunk once, compressed.
+    media, written in the shared folder: a row for each document: id, n_bytes, media digest, and the
+    ordered chunk digests (null where an equal medium of the same task has them). chunks: each
+    distinct chunk once, compressed; a plan, which may be written as a table or joined as it is, so
+    that its bytes are shuffled once.
     """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     media = materialize(spark, rows.mapInArrow(_media(least, average, most), "id long, n_bytes long, digest binary, names array<binary>"), "media")
     parts = rows.select("text").mapInArrow(_chunks(least, average, most), "digest binary, chunk binary")
-    return media, materialize(spark, parts.dropDuplicates(["digest"]), "media_chunks")
+    return media, parts.dropDuplicates(["digest"])
 
 
 def _read(single: bool):
