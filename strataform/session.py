@@ -11,7 +11,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_strataform_shipped"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITE_CONF = {
+    # shuffle files of a write go as soon as it ends
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # documents are long: fewer rows a batch keep Python workers small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -65,6 +70,31 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def lean(run):
+    """A mapInArrow function that hands freed memory back to the system when its partition ends.
+
+    Python workers are reused, and what one partition has freed would otherwise stay with them.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect(0)
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return wrapped
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back, which cuts its lineage.
 
@@ -72,13 +102,12 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     released as soon as it ends, so peak disk is one step's shuffle and not the sum.
     """
     path = f"{shared_dir(spark)}/strataform/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
+    before = {k: spark.conf.get(k, None) for k in _WRITE_CONF}
     try:
-        spark.conf.set(_CLEANUP, "true")
+        for k, v in _WRITE_CONF.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
