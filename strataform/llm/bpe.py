@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strataform.session import ship_package
 
 #: Words that a Python worker keeps with their encodings before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -274,7 +274,7 @@ def loaded(spec: str, cache_words: int = CACHE_WORDS) -> WordBpe:
     return _LOADED[key]
 
 
-def _chunks(texts: list[str | None], limit: int = 16_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str | None], limit: int = 8_000_000) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")

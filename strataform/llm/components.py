@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.session import materialize, ship_package
+from strataform.session import lean, materialize, ship_package
 
 MAX_ROUNDS = 60
 
@@ -74,7 +74,7 @@ def components(spark: SparkSession, edges: DataFrame, a: str, b: str) -> DataFra
     schema = "node long, parent long"
     rows = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("parent")).filter("node <> parent")
     for k in range(MAX_ROUNDS):
-        united = materialize(spark, rows.mapInArrow(_unite, schema).repartition("node").mapInArrow(_unite, schema), f"cc{k}")
+        united = materialize(spark, rows.mapInArrow(lean(_unite), schema).repartition("node").mapInArrow(lean(_unite), schema), f"cc{k}")
         up = united.groupBy(F.col("node").alias("parent")).agg(F.min("parent").alias("above"))
         jumped = materialize(spark, united.join(materialize(spark, up, f"up{k}"), "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().cast("long").alias("moved")), f"jump{k}")
         moved, n, distinct = jumped.agg(F.coalesce(F.sum("moved"), F.lit(0)), F.count("*"), F.count_distinct("node")).first()

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from strataform.llm import bloom, shingles
 from strataform.llm.components import components, min_labels
-from strataform.session import materialize, ship_package
+from strataform.session import lean, materialize, ship_package
 
 K, BANDS, ROWS, PERCENT = 8, 11, 3, 75
 SMALL, BLOCK = 16, 256
@@ -194,7 +194,7 @@ def _band_rows(k: int, bands: int, rows: int, small: int):
             yield from _emit((a ^ b)[known], _PAIR, a[known], b[known])  # pairs of small bands come from the task that gathers the band
             yield from _emit(line[large] ^ band[large], _ASIDE, band[large], line[large])
 
-    return run
+    return lean(run)
 
 
 def _gather(small: int):
@@ -212,7 +212,7 @@ def _gather(small: int):
         yield from _emit(*(x := of(_ASIDE, "a", "b"))[:1], _ASIDE, *x)
         yield from _emit(*(x := of(_LINE, "a", "b", "c", "d"))[:1], _LINE, *x)
 
-    return run
+    return lean(run)
 
 
 def _lines_in(sent):
@@ -227,20 +227,20 @@ def _lines_in(sent):
             on = np.flatnonzero((bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
             yield pa.RecordBatch.from_arrays([pa.array([keys[i][0] for i in on], pa.int64()), pa.array([keys[i][1] for i in on], pa.int64()), pa.array([lines[i] for i in on], pa.string())], ["hi", "lo", "line"])
 
-    return run
+    return lean(run)
 
 
 def _key_bits(batches):
     """(part, bits): this partition's bits in parts of 32,768 bits."""
     parts: dict[int, np.ndarray] = {}
     for b in batches:
-        h = shingles.mix(b.column(0).to_numpy().view(np.uint64)) & np.uint64(bloom.FILTER_BITS - 1)
-        part = (h >> np.uint64(15)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            own = parts.setdefault(p, np.zeros(32768, bool))
-            own[(h[part == p] & np.uint64(32767)).astype(np.int64)] = True
+        h = np.sort(shingles.mix(b.column(0).to_numpy().view(np.uint64)) & np.uint64(bloom.FILTER_BITS - 1)).astype(np.int64)
+        for group in np.split(h, np.flatnonzero(np.diff(h >> 15)) + 1):
+            if len(group):
+                own = parts.setdefault(int(group[0] >> 15), np.zeros(4096, np.uint8))
+                np.bitwise_or.at(own, (group & 32767) >> 3, np.left_shift(1, group & 7).astype(np.uint8))
     rows = sorted(parts)
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([np.packbits(parts[p], bitorder="little").tobytes() for p in rows], pa.binary())], ["part", "bits"])
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([parts[p].tobytes() for p in rows], pa.binary())], ["part", "bits"])
 
 
 def _verify(k: int, percent: int, at_once: int = 500):
@@ -254,7 +254,7 @@ def _verify(k: int, percent: int, at_once: int = 500):
                 part = b.filter(pa.array([similar(sets[j], sets[n + j], percent) for j in range(n)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("a", "a_lo", "b", "b_lo")], ["a", "a_lo", "b", "b_lo"])
 
-    return run
+    return lean(run)
 
 
 def _block_links(k: int, percent: int):
@@ -285,7 +285,7 @@ def _block_links(k: int, percent: int):
                         group[r] = new
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _classes(docs: DataFrame, found: DataFrame, k: int, percent: int, block: int) -> DataFrame:
@@ -294,7 +294,7 @@ def _classes(docs: DataFrame, found: DataFrame, k: int, percent: int, block: int
     pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").distinct()
     aside = found.filter(F.col("kind") == _ASIDE).select(F.col("a").alias("band"), F.col("b").alias("hi")).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("hi")).union(aside.select("hi")).distinct()
-    parts = wanted.mapInArrow(_key_bits, "part long, bits binary").collect()  # at most 8 MB from each partition
+    parts = wanted.mapInArrow(lean(_key_bits), "part long, bits binary").collect()  # at most 8 MB from each partition
     bits = np.zeros(bloom.FILTER_BITS // 8, np.uint8)
     for p in parts:
         bits[p.part * 4096 : (p.part + 1) * 4096] |= np.frombuffer(bytes(p.bits), np.uint8)
@@ -356,7 +356,7 @@ def _rebuild(names: list[str], text_col: str, made: list[str]):
             cols = {text_col: pa.array(out, pa.string()), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(lost, pa.int64())}
             yield pa.RecordBatch.from_arrays([cols[c] if c in cols else b.column(c) for c in names], names)
 
-    return run
+    return lean(run)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

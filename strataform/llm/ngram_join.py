@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from strataform.llm import bloom, shingles
 from strataform.llm.components import components
-from strataform.session import materialize, ship_package
+from strataform.session import lean, materialize, ship_package
 
 WIDTH, PERCENT = 5, 75
 #: Most frequent shingles that are ordered by count; 16 bytes each are sent to every worker.
@@ -104,7 +104,7 @@ def frequent_shingles(docs: DataFrame, width: int, frequent: int) -> dict[str, n
         if held:
             yield flush()
 
-    totals = materialize(docs.sparkSession, docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle_counts")
+    totals = materialize(docs.sparkSession, docs.mapInArrow(lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle_counts")
     # the least count above which at most `frequent` shingles lie, from a histogram over count's binary digits
     level = F.least(F.floor(F.log2("n") * 8), F.lit(511)).cast("int")
     sizes = {r.level: r.rows for r in totals.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect()}
@@ -154,7 +154,7 @@ def _profiles(sent, width: int, percent: int):
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["id", "n", "hi", "lo", "sketch", "prefix"])
 
-    return run
+    return lean(run)
 
 
 def _prefix_rows(sent):
@@ -178,7 +178,7 @@ def _prefix_rows(sent):
                     salt = (shingles.mix(c.view(np.uint64)) % salts).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(salt), pa.array(c), pa.array(at)], ["shingle", "salt", "cid", "at"])
 
-    return run
+    return lean(run)
 
 
 def passes(n1, i1, n2, i2, percent: int):
@@ -249,7 +249,7 @@ def _pair_candidates(percent: int, small: int):
             x = keep[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(s[x]), pa.array(c[x]), pa.array(at[x])], ["kind", "a", "b", "at"])
 
-    return run
+    return lean(run)
 
 
 def _suffix_filter(percent: int):
@@ -267,7 +267,7 @@ def _suffix_filter(percent: int):
             part = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([part.column("rep_a"), part.column("rep_b")], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _sets(width: int):
@@ -279,7 +279,7 @@ def _sets(width: int):
             keys = [shingles.signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "hi", "lo", "set"])
 
-    return run
+    return lean(run)
 
 
 def _verify(percent: int):
@@ -293,7 +293,7 @@ def _verify(percent: int):
             part = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _block_pairs(percent: int):
@@ -326,7 +326,7 @@ def _block_pairs(percent: int):
             both = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
 
-    return run
+    return lean(run)
 
 
 class _Join:

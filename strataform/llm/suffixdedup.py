@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strataform.llm import shingles
 from strataform.llm.bloom import FILTER_BITS
-from strataform.session import materialize, ship_package
+from strataform.session import lean, materialize, ship_package
 
 LENGTH, K = 50, 16
 #: Suffixes of one seed that one task compares; about 7 MB.
@@ -74,7 +74,7 @@ def anchors(h: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.
     return at, g[at]
 
 
-def _pieces(batches, limit: int = 2_000_000):
+def _pieces(batches, limit: int = 1_000_000):
     for b in batches:
         cols = [b.column(c).to_pylist() for c in ("id", "th", "text")]
         for x, y in shingles.pieces(cols[2], limit):
@@ -88,7 +88,7 @@ def _seeds(length: int, k: int):
             s, n = np.unique(seed, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], ["seed", "n"])
 
-    return run
+    return lean(run)
 
 
 def _bits(batches):
@@ -99,9 +99,10 @@ def _bits(batches):
         cuts = np.flatnonzero(np.diff(h >> 15)) + 1
         for group in np.split(h, cuts):
             if len(group):
-                parts.setdefault(int(group[0] >> 15), np.zeros(32768, bool))[group & 32767] = True
+                own = parts.setdefault(int(group[0] >> 15), np.zeros(4096, np.uint8))
+                np.bitwise_or.at(own, (group & 32767) >> 3, np.left_shift(1, group & 7).astype(np.uint8))
     rows = sorted(parts)
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([np.packbits(parts[p], bitorder="little").tobytes() for p in rows], pa.binary())], ["part", "bits"])
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([parts[p].tobytes() for p in rows], pa.binary())], ["part", "bits"])
 
 
 def _filter(seeds: DataFrame) -> np.ndarray:
@@ -117,7 +118,7 @@ def _filter(seeds: DataFrame) -> np.ndarray:
 
     schema = "part long, bits binary"
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in seeds.mapInArrow(_bits, schema).repartition("part").mapInArrow(unite, schema).collect():
+    for r in seeds.mapInArrow(lean(_bits), schema).repartition("part").mapInArrow(lean(unite), schema).collect():
         out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
@@ -172,7 +173,7 @@ def _entries(again, hot, length: int, k: int):
             _, first, n = np.unique(hi, return_index=True, return_counts=True)
             yield _row(_ENTRY, len(first), id=seed[first].view(np.int64), hi=hi[first], lo=lo[first], n=n, words=[w[i].tobytes() for i in first])
 
-    return run
+    return lean(run)
 
 
 def _passages(h, bounds, at, doc, ids, ths, length, before):
@@ -227,7 +228,7 @@ def _sorted_entries(length: int, k: int):
         keep = bits != 0
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (hi, lo, bits)], ["hi", "lo", "bits"])
 
-    return run
+    return lean(run)
 
 
 def _united(length: int):
@@ -243,7 +244,7 @@ def _united(length: int):
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(spans, kind)], ["id", "th", "spans"])
 
-    return run
+    return lean(run)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
