@@ -359,13 +359,13 @@ def j07(s, d):
     return A.affinity(B.support(s, d)).select("lo", "hi", r6(F.col("ios"), "ios"))
 
 
-SQL["edge"] = "SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY cosine DESC, lo, hi) AS place FROM aff WHERE cosine >= 0.45 OR ios >= 0.6"
+SQL["edge"] = "SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY cosine DESC, lo, hi) AS place FROM aff WHERE cosine >= 0.25 OR ios >= 0.26"
 B.USES["edge"] = ("aff",)
 
 
 @query("L02_edge_order", with_("SELECT class_id, lo, hi, place FROM edge", "edge"))
 def l02(s, d):
-    return A.edges(A.affinity(B.support(s, d)), 0.45, 0.6).select("class_id", "lo", "hi", "place")
+    return A.edges(A.affinity(B.support(s, d)), 0.25, 0.26).select("class_id", "lo", "hi", "place")
 
 
 @query("A29_affinity_histogram", with_("SELECT CASE WHEN lo % 10 = hi % 10 THEN 'same view' ELSE 'cross view' END AS kind, CAST(least(floor(ios * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM aff GROUP BY 1, 2", "aff"))
@@ -398,21 +398,21 @@ SQL["fcl"] = "SELECT DISTINCT a.class_id, a.det AS lo, b.det AS hi FROM (SELECT
 B.USES["fcl"] = ("support",)
 
 
-@query("J08_ambiguity", with_("+ pair2 AS (SELECT lo AS d, hi AS e FROM aff WHERE ios >= 0.6 UNION ALL SELECT hi, lo FROM aff WHERE ios >= 0.6), forb AS (SELECT lo AS p, hi AS q FROM fcl UNION ALL SELECT hi, lo FROM fcl) SELECT DISTINCT a.d AS det FROM pair2 a JOIN forb f ON f.p = a.e JOIN pair2 b ON b.d = a.d AND b.e = f.q WHERE a.d % 7 = a.e % 7 AND b.e % 7 <> a.d % 7", "aff", "fcl"))
+@query("J08_ambiguity", with_("+ pair2 AS (SELECT lo AS d, hi AS e FROM aff WHERE ios >= 0.27 UNION ALL SELECT hi, lo FROM aff WHERE ios >= 0.27), forb AS (SELECT lo AS p, hi AS q FROM fcl UNION ALL SELECT hi, lo FROM fcl) SELECT DISTINCT a.d AS det FROM pair2 a JOIN forb f ON f.p = a.e JOIN pair2 b ON b.d = a.d AND b.e = f.q WHERE a.d % 7 = a.e % 7 AND b.e % 7 <> a.d % 7", "aff", "fcl"))
 def j08(s, d):
     sup = B.support(s, d)
-    return A.ambiguous(A.affinity(sup), tracks(s, d), A.frame_cannot_link(sup), 0.6)
+    return A.ambiguous(A.affinity(sup), tracks(s, d), A.frame_cannot_link(sup), 0.27)
 
 
 SQL["assigned"] = "SELECT gid, track FROM (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY score DESC, track) AS r FROM tscore) WHERE r = 1"
 B.USES["assigned"] = ("tscore",)
 
 
-@query("J09_conflicting_support", with_("+ held AS (SELECT s.det, track AS instance, count(*) AS n FROM support s JOIN assigned a ON a.gid = s.gid GROUP BY 1, 2 HAVING count(*) >= 80) SELECT a.instance, f.lo, f.hi FROM fcl f JOIN held a ON a.det = f.lo JOIN held b ON b.det = f.hi AND a.instance = b.instance", "assigned", "fcl"))
+@query("J09_conflicting_support", with_("+ held AS (SELECT s.det, track AS instance, count(*) AS n FROM support s JOIN assigned a ON a.gid = s.gid GROUP BY 1, 2 HAVING count(*) >= 60) SELECT a.instance, f.lo, f.hi FROM fcl f JOIN held a ON a.det = f.lo JOIN held b ON b.det = f.hi AND a.instance = b.instance", "assigned", "fcl"))
 def j09(s, d):
     sup = B.support(s, d)
     best = A.best_track(A.track_scores(sup, tracks(s, d)))
-    return A.conflicting_support(sup, best, A.frame_cannot_link(sup), 80)
+    return A.conflicting_support(sup, best, A.frame_cannot_link(sup), 60)
 
 
 @query("J10_distinctness", with_("+ m AS (SELECT part, frame_idx, mask FROM (SELECT *, row_number() OVER (PARTITION BY part, frame_idx ORDER BY n DESC, mask) AS r FROM (SELECT gid % 12 AS part, frame_idx, det AS mask, count(*) AS n FROM support GROUP BY 1, 2, 3)) WHERE r = 1) SELECT a.part AS a, b.part AS b, count(*) FILTER (WHERE a.mask <> b.mask) AS votes, count(*) AS checked, count(*) FILTER (WHERE a.mask <> b.mask) >= 8 OR 2 * count(*) FILTER (WHERE a.mask <> b.mask) >= count(*) AS \"distinct\" FROM m a JOIN m b ON a.frame_idx = b.frame_idx AND a.part < b.part GROUP BY 1, 2", "support"))

@@ -254,9 +254,9 @@ def a42(s, d):
     return P.up_axis(B.gaussian(s, d))
 
 
-@query("L07_stride_sample", with_("SELECT gid FROM gaussian WHERE gid % 20 = 0", "gaussian"))
+@query("L07_stride_sample", with_("SELECT gid FROM gaussian WHERE gid % 21 = 0", "gaussian"))
 def l07(s, d):
-    return P.stride(B.gaussian(s, d), 20).select("gid")
+    return P.stride(B.gaussian(s, d), 21).select("gid")
 
 
 @query("L06_hash_sample")
