@@ -1,6 +1,6 @@
 """Fuzzy line dedup: MinHash bands over character shingles, exact verification, union-find.
 
-Lines are compared in a normal form (lower case, runs of white space as one blank). A line's set
+Lines are compared in a normal form (A-Z lower-cased, runs of ASCII white space as one blank). A line's set
 holds its distinct shingles of `k` characters; a line of fewer characters is one shingle. Lines
 of equal normal form are one class. Classes whose signatures agree on all `rows` values of one of
 `bands` bands are compared exactly, and link when 100 * |intersection| >= percent * |union|. At
@@ -44,14 +44,27 @@ _BATCH = 1_000_000
 _SEEN = 100_000
 
 
+def normal_lines(text: str | None) -> list[bytes]:
+    """The normal form of every line of a text, as UTF-8."""
+    return [b" ".join(x.split()) for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
+
+
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    return b" ".join(line.encode("utf-8", "surrogatepass").lower().split()).decode("utf-8", "surrogatepass")
+
+
+def key(line: bytes) -> bytes:
+    """128 bits of a normal form."""
+    return hashlib.blake2b(line, digest_size=16).digest()
+
+
+def key_numbers(keys: list[bytes]) -> np.ndarray:
+    """Keys as rows of two signed numbers."""
+    return np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
 
 
-def key(line: str) -> tuple[int, int]:
-    """128 bits of a normal form, as two signed numbers."""
-    d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def text_of(lines: list[bytes]) -> list[str]:
+    return [x.decode("utf-8", "surrogatepass") for x in lines]
 
 
 def grams(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,17 +145,53 @@ def star(band: np.ndarray, line: np.ndarray, small: int):
     return pairs, large, start, size
 
 
-#: Kinds of rows in the one shuffle: pairs of lines (a, b); a line b set aside for band a; a line a of
-#: band `deal` to gather; and occurrences of the line (hi a, lo b) in document c at line d.
-_KINDS = "deal long, kind int, a long, b long, c long, d long"
+#: Kinds of rows: pairs of lines (a, b); a line b set aside for band a; rows (band a, line b) to
+#: gather; occurrences of the line (hi a, lo b) in document c at line d. In the shuffle rows are
+#: packed, column after column, by a bucket of what they are dealt by.
+_PACKED = "bucket int, kind int, data binary"
+_KINDS = "kind int, a long, b long, c long, d long"
 _PAIR, _ASIDE, _ROW, _LINE = 0, 1, 2, 3
+_WIDTH = {_PAIR: 2, _ASIDE: 2, _ROW: 2, _LINE: 4}
+_BUCKETS = 512
+_FLUSH = 600_000
 
 
-def _emit(deal, kind, *cols):
-    for k in range(0, len(deal), 100_000):
-        part = [pa.array(np.ascontiguousarray(x[k : k + 100_000])) for x in (deal, *cols)]
+class _Packer:
+    """Gathers rows by kind and gives them out as packed buckets."""
+
+    def __init__(self):
+        self.held = {k: [] for k in _WIDTH}
+        self.size = 0
+
+    def add(self, kind: int, deal: np.ndarray, *cols: np.ndarray) -> None:
+        if len(deal):
+            self.held[kind].append(np.stack([deal, *cols]))
+            self.size += len(deal)
+
+    def give(self):
+        buckets, kinds, data = [], [], []
+        for kind, parts in self.held.items():
+            if not parts:
+                continue
+            rows = np.concatenate(parts, axis=1)
+            bucket = (shingles.mix(rows[0].view(np.uint64)) % np.uint64(_BUCKETS)).astype(np.int16)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[1:, order], bucket[order]
+            cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)]
+            for x, y in itertools.pairwise(cuts.tolist()):
+                buckets.append(int(bucket[x]))
+                kinds.append(kind)
+                data.append(rows[:, x:y].tobytes())
+            self.held[kind] = []
+        self.size = 0
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], ["bucket", "kind", "data"])
+
+
+def _emit(kind, *cols):
+    for k in range(0, len(cols[0]), 100_000):
+        part = [pa.array(np.ascontiguousarray(x[k : k + 100_000])) for x in cols]
         none = pa.nulls(len(part[0]), pa.int64())
-        yield pa.RecordBatch.from_arrays([part[0], pa.array(np.full(len(part[0]), kind, np.int32)), *part[1:], *[none] * (5 - len(part))], ["deal", "kind", "a", "b", "c", "d"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part, *[none] * (4 - len(part))], ["kind", "a", "b", "c", "d"])
 
 
 def _starred(band, line, small):
@@ -162,55 +211,63 @@ def _starred(band, line, small):
 
 
 def _band_rows(k: int, bands: int, rows: int, small: int):
-    """Rows of distinct lines' bands, with what large bands of this batch give at once."""
+    """Line occurrences, rows of distinct lines' bands, and what large bands of this batch give at once."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
+        packer = _Packer()
         for ids, texts in _batches(batches):
-            keys: dict[str, tuple[int, int]] = {}
-            occurrences = []
+            keys: dict[bytes, bytes] = {}
+            owner, doc, number = [], [], []
             for i, t in zip(ids, texts, strict=True):
-                for n, line in enumerate(t.split("\n") if t and i is not None else ()):
-                    if x := normal(line):
+                for n, x in enumerate(normal_lines(t) if i is not None else ()):
+                    if x:
                         own = keys.get(x)
                         if own is None:
                             own = keys[x] = key(x)
-                        occurrences.append((own[0], own[1], i, n))
-            if not occurrences:
+                        owner.append(own), doc.append(i), number.append(n)
+            if not owner:
                 continue
-            hi, lo, doc, number = np.array(occurrences, np.int64).T
-            # dealt by line and document, so that a very common line goes to many tasks
-            yield from _emit(shingles.mix((hi ^ doc).view(np.uint64)).view(np.int64), _LINE, hi, lo, doc, number)
-            keyed = [(x, h) for x, (h, _) in keys.items() if h not in seen]
+            hi, lo = key_numbers(owner).T
+            doc, number = np.array(doc, np.int64), np.array(number, np.int64)
+            packer.add(_LINE, hi ^ doc, hi, lo, doc, number)  # dealt by line and document: a very common line goes to many tasks
+            fresh = [x for x, own in keys.items() if own not in seen]
             if len(seen) < _SEEN:
-                seen.update(h for _, h in keyed)
-            if not keyed:
-                continue
-            band = band_keys([x for x, _ in keyed], k, bands, rows).ravel().view(np.int64)
-            band, line, pairs, large, on = _starred(band, np.repeat(np.array([h for _, h in keyed]), bands), small)
-            yield from _emit(band[on], _ROW, line[on])
-            a, b = pairs[:, 0], pairs[:, 1]
-            known = np.isin(a, line[large]) & np.isin(b, line[large]) if large.any() else np.zeros(len(a), bool)
-            yield from _emit((a ^ b)[known], _PAIR, a[known], b[known])  # pairs of small bands come from the task that gathers the band
-            yield from _emit(line[large] ^ band[large], _ASIDE, band[large], line[large])
+                seen.update(keys[x] for x in fresh)
+            if fresh:
+                name = key_numbers([keys[x] for x in fresh])[:, 0]
+                band = band_keys(text_of(fresh), k, bands, rows).ravel().view(np.int64)
+                band, line, pairs, large, on = _starred(band, np.repeat(name, bands), small)
+                packer.add(_ROW, band[on], band[on], line[on])
+                if large.any():  # pairs of small bands come from the task that gathers the band
+                    a, b = pairs[np.isin(pairs[:, 0], line[large]) & np.isin(pairs[:, 1], line[large])].T
+                    packer.add(_PAIR, a ^ b, a, b)
+                    packer.add(_ASIDE, line[large] ^ band[large], band[large], line[large])
+            if packer.size > _FLUSH:
+                yield from packer.give()
+        yield from packer.give()
 
     return lean(run)
 
 
 def _gather(small: int):
     def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        kind = t.column("kind").to_numpy()
-        of = lambda k, *names: [t.column(c).filter(pa.array(kind == k)).to_numpy() for c in names]
-        band, line, pairs, large, _ = _starred(*of(_ROW, "deal", "a"), small)
-        pairs = np.unique(np.concatenate([pairs, np.stack(of(_PAIR, "a", "b"), axis=1)]), axis=0)
-        yield from _emit(pairs[:, 0], _PAIR, pairs[:, 0], pairs[:, 1])
-        yield from _emit(band[large], _ASIDE, band[large], line[large])
-        yield from _emit(*(x := of(_ASIDE, "a", "b"))[:1], _ASIDE, *x)
-        yield from _emit(*(x := of(_LINE, "a", "b", "c", "d"))[:1], _LINE, *x)
+        held: dict[int, list[np.ndarray]] = {k: [] for k in _WIDTH}
+        for b in batches:
+            for kind, data in zip(b.column("kind").to_pylist(), b.column("data").to_pylist(), strict=True):
+                rows = np.frombuffer(data, np.int64).reshape(_WIDTH[kind], -1)
+                if kind in (_LINE, _ASIDE):
+                    yield from _emit(kind, *rows)
+                else:
+                    held[kind].append(rows)
+        none = np.empty((2, 0), np.int64)
+        band, line, pairs, large, _ = _starred(*np.concatenate([none, *held[_ROW]], axis=1), small)
+        pairs = np.concatenate([pairs.T, *held[_PAIR]], axis=1)
+        if pairs.shape[1]:
+            pairs = np.unique(pairs, axis=1)
+            yield from _emit(_PAIR, *pairs)
+        if large.any():
+            yield from _emit(_ASIDE, band[large], line[large])
 
     return lean(run)
 
@@ -221,11 +278,13 @@ def _lines_in(sent):
     def run(batches):
         bits = sent.value
         for _, texts in _batches(batches):
-            lines = list({x for t in texts if t for line in t.split("\n") if (x := normal(line))})
-            keys = [key(x) for x in lines]
-            h = shingles.mix(np.array([x for x, _ in keys], np.int64).view(np.uint64)) & np.uint64(len(bits) * 8 - 1)
+            lines = list({x for t in texts for x in normal_lines(t) if x})
+            if not lines:
+                continue
+            names = key_numbers([key(x) for x in lines])
+            h = shingles.mix(names[:, 0].copy().view(np.uint64)) & np.uint64(len(bits) * 8 - 1)
             on = np.flatnonzero((bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i][0] for i in on], pa.int64()), pa.array([keys[i][1] for i in on], pa.int64()), pa.array([lines[i] for i in on], pa.string())], ["hi", "lo", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[on, 0]), pa.array(names[on, 1]), pa.array(text_of([lines[i] for i in on]), pa.string())], ["hi", "lo", "line"])
 
     return lean(run)
 
@@ -243,15 +302,28 @@ def _key_bits(batches):
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([parts[p].tobytes() for p in rows], pa.binary())], ["part", "bits"])
 
 
+def _common(g: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of intersection and union of the shingle sets of lines i and n + i, for i under n."""
+    line = np.repeat(np.arange(2 * n), np.diff(at))
+    order = np.lexsort((g, line % n, line // n))  # distinct within each line first
+    g, line = g[order], line[order]
+    keep = np.r_[True, (g[1:] != g[:-1]) | (line[1:] != line[:-1])]
+    g, pair = g[keep], line[keep] % n
+    order = np.lexsort((g, pair))
+    g, pair = g[order], pair[order]
+    twice = np.flatnonzero((g[1:] == g[:-1]) & (pair[1:] == pair[:-1]))
+    both = np.bincount(pair[twice], minlength=n)
+    return both, np.bincount(pair, minlength=n) - both
+
+
 def _verify(k: int, percent: int, at_once: int = 500):
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, at_once):
                 b = whole.slice(i, at_once)
-                n = b.num_rows
                 g, at = grams([*b.column("line_a").to_pylist(), *b.column("line_b").to_pylist()], k)
-                sets = [np.unique(g[at[j] : at[j + 1]]) for j in range(2 * n)]
-                part = b.filter(pa.array([similar(sets[j], sets[n + j], percent) for j in range(n)], pa.bool_()))
+                both, union = _common(g, at, b.num_rows)
+                part = b.filter(pa.array(100 * both >= percent * union))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("a", "a_lo", "b", "b_lo")], ["a", "a_lo", "b", "b_lo"])
 
     return lean(run)
@@ -324,7 +396,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     spark = docs.sparkSession
     ship_package(spark)
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = materialize(spark, plain.mapInArrow(_band_rows(k, bands, rows, small), _KINDS).repartition("deal").mapInArrow(_gather(small), _KINDS), "bands")
+    packed = plain.mapInArrow(_band_rows(k, bands, rows, small), _PACKED).repartition("bucket")
+    found = materialize(spark, packed.select("kind", "data").mapInArrow(_gather(small), _KINDS), "bands")
     occ = found.filter(F.col("kind") == _LINE).select(F.col("a").alias("hi"), F.col("b").alias("lo"), F.col("c").alias("doc_id"), F.col("d").alias("line_no"))
     roots = materialize(spark, _classes(plain, found, k, percent, block), "roots")
     each = occ.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
@@ -336,24 +409,24 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return materialize(spark, gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hi")).alias("lines")), "removals")
 
 
-def _rebuild(names: list[str], text_col: str, made: list[str]):
+def _rebuild(names: list[str], text_col: str):
+    """Documents without the lines listed for them."""
+
     def run(batches):
         for b in batches:
-            texts, lists = b.column(text_col).to_pylist(), b.column("__lines").to_pylist()
-            out, total, lost = [], [], []
-            for t, gone in zip(texts, lists, strict=True):
-                parts = t.split("\n") if t else []
-                left = parts
-                if gone:
-                    drop = {(g["line_no"], g["hi"]) for g in gone}
-                    numbers = {n for n, _ in drop}
-                    left = [x for n, x in enumerate(parts) if n not in numbers or (n, key(normal(x))[0]) not in drop]
-                filled = sum(not x.isspace() and x != "" for x in parts)
-                stay = sum(not x.isspace() and x != "" for x in left)
-                out.append(t if t is None else "\n".join(left) if stay or not filled else "")
-                total.append(filled)
-                lost.append(filled - stay)
-            cols = {text_col: pa.array(out, pa.string()), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(lost, pa.int64())}
+            out, lost = [], []
+            for t, gone in zip(b.column(text_col).to_pylist(), b.column("__lines").to_pylist(), strict=True):
+                if not gone or not t:
+                    out.append(t), lost.append(0)
+                    continue
+                drop = {(g["line_no"], g["hi"]) for g in gone}
+                numbers = {n for n, _ in drop}
+                forms = normal_lines(t)
+                left = [n for n in range(len(forms)) if n not in numbers or (n, int.from_bytes(key(forms[n])[:8], "little", signed=True)) not in drop]
+                lines = t.split("\n")
+                out.append("\n".join(lines[n] for n in left) if any(forms[n] for n in left) else "")
+                lost.append(len(lines) - len(left))
+            cols = {text_col: pa.array(out, pa.string()), "n_removed": pa.array(lost, pa.int64())}
             yield pa.RecordBatch.from_arrays([cols[c] if c in cols else b.column(c) for c in names], names)
 
     return lean(run)
@@ -363,11 +436,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`docs` without the lines that repeat others; adds n_lines (not blank) and n_removed."""
     gone = removals(docs, id_col, text_col, **options)
     made = ["n_lines", "n_removed"]
-    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
-    names = [*base.columns, *made]
-    schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    filled = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
+    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), F.size(filled).cast("long").alias("n_lines"))
+    names = [*base.columns, "n_removed"]
+    schema = T.StructType([*base.schema.fields, T.StructField("n_removed", T.LongType())])
     clear, maybe = bloom.split(base, id_col, bloom.build(gone, "doc_id", "line_bloom"))
-    none = F.lit(None).cast(gone.schema["lines"].dataType).alias("__lines")
     hit = maybe.join(gone.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")), F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left").drop("__id")
-    both = clear.select("*", none).unionByName(hit)
-    return both.mapInArrow(_rebuild(names, text_col, made), schema)
+    return clear.withColumn("n_removed", F.lit(0).cast("long")).unionByName(hit.mapInArrow(_rebuild(names, text_col), schema))
