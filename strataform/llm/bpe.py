@@ -16,7 +16,7 @@ Defined results
     the output column replaces it.
 
 Everything is a map over rows: no shuffle, memory bounded by one Arrow batch plus a word cache
-of `cache_words` entries for each Python worker.
+of `cache_words` entries for each task.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.session import ship_package
+from strataform.session import lean, ship_package
 
-#: Words that a Python worker keeps with their encodings before it starts afresh.
+#: Words of a partition that are kept with their encodings before it starts afresh.
 CACHE_WORDS = 250_000
 _NONE = np.iinfo(np.int64).max
 
@@ -299,14 +299,18 @@ def _with_columns(df: DataFrame, text_col: str, fields: list[pa.Field], make) ->
         out = out.withColumn(f.name, F.lit(None).cast(from_arrow_type(f.type)))
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("__text" if add_text else text_col).to_pylist()
-            for a, b in _chunks(texts):
-                part = batch.slice(a, b - a)
-                made = make(texts[a:b])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(m, f.type) for m, f in zip(made, fields, strict=True))], [*kept, *names])
+        try:
+            for batch in batches:
+                texts = batch.column("__text" if add_text else text_col).to_pylist()
+                for a, b in _chunks(texts):
+                    part = batch.slice(a, b - a)
+                    made = make(texts[a:b])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(m, f.type) for m, f in zip(made, fields, strict=True))], [*kept, *names])
+        finally:
+            for bpe in _LOADED.values():  # the tables stay with the worker, a partition's words do not
+                bpe._reset()
 
-    return source.mapInArrow(run, out.schema)
+    return source.mapInArrow(lean(run), out.schema)
 
 
 def encode(df: DataFrame, spec: str, text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
@@ -337,7 +341,7 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids") -> DataFrame:
             made = make(batch.column(ids_col).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made[0], pa.string())], [*kept, fields[0].name])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def digests(df: DataFrame, spec: str, text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataform.session import ship_package
+from strataform.session import lean, ship_package
 
 WINDOW = 10
 #: Patterns that one pass searches for: at 10 words about 4 MB of patterns and 20 MB of tables.
@@ -244,7 +244,7 @@ def _pass(sent, kept: list[str], text: str, last: bool):
                     own = [part.column("__text")] if text == "__text" else []
                     yield pa.RecordBatch.from_arrays([*rows, *own, pa.array(hit_col, pa.binary()), pa.array(item_col, pa.list_(pa.int64())), pa.array(counts, pa.int64())], [*kept, *(["__text"] if own else []), "__hits", "__items", "n_words"])
 
-    return run
+    return lean(run)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform.llm import gru
-from strataform.session import ship_package
+from strataform.session import lean, ship_package
 
 HIDDEN = 8
 PIECE, CONTEXT = 496, 8
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 part = batch.slice(a, len(some))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([x for x, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.float64())], [*kept, *made])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from strataform.llm import shingles
 from strataform.llm.linededup import grams, normal
-from strataform.session import ship_package
+from strataform.session import lean, ship_package
 
 K, BLOCK, HASHES, HITS, PERCENT = 6, 32, 64, 2, 80
 
@@ -136,4 +136,4 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, percent:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(windows, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spots, spot_type)], [*kept, *made])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

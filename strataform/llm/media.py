@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.session import materialize, ship_package
+from strataform.session import lean, materialize, ship_package
 
 FRAME = 576
 RATE = 8_000
@@ -143,7 +143,7 @@ def _media(least: int, average: int, most: int):
                 size.append(n), wholes.append(whole), lists.append(names)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(wholes, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], ["id", "n_bytes", "digest", "names"])
 
-    return run
+    return lean(run)
 
 
 def _chunks(least: int, average: int, most: int):
@@ -166,7 +166,7 @@ def _chunks(least: int, average: int, most: int):
                     a = z
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(parts, pa.binary())], ["digest", "chunk"])
 
-    return run
+    return lean(run)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +218,7 @@ def _read(single: bool):
                     rows.append(described(w, b"".join(held)))
             yield out(rows)
 
-    return run
+    return lean(run)
 
 
 _READ = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform.llm import gru, shingles
-from strataform.session import ship_package
+from strataform.session import lean, ship_package
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 8, 16, 8
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], [*kept, *made])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
