@@ -8,6 +8,7 @@ from strataform.functions import text as X
 from strataform.operators import journal as J
 from strataform.operators import verification as V
 from strataform.plans import bindings as B
+from strataform.plans import q_assignment  # noqa: F401  its model tables are used here
 from strataform.plans.bindings import with_
 from strataform.plans.query import query
 from strataform.session import table
