@@ -83,10 +83,12 @@ def grams(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_set(line: str, k: int) -> np.ndarray:
-    return np.unique(grams([line], k)[0])
+    return _distinct(grams([line], k)[0])
 
 
 def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
     both = np.sort(np.concatenate([s, t]))
     common = int((both[1:] == both[:-1]).sum())
     return 100 * common >= percent * (len(both) - common)
@@ -194,12 +196,21 @@ def _emit(kind, *cols):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part, *[none] * (4 - len(part))], ["kind", "a", "b", "c", "d"])
 
 
-def _starred(band, line, small):
-    """Kinds 0 and 1 of rows (band, line), and which rows to send on: all of small bands, two of a large one."""
-    order = np.lexsort((line, band))
+def _starred(band, line, small, distinct: bool):
+    """Rows sorted by band, their pairs, which lie in large bands, and which to send on: all of small bands, two of a large one.
+
+    `distinct`: no row occurs twice. Else only rows of bands with several rows are returned, each once.
+    """
+    order = np.argsort(band)
     band, line = band[order], line[order]
-    fresh = np.r_[True, (band[1:] != band[:-1]) | (line[1:] != line[:-1])] if len(band) else np.zeros(0, bool)
-    band, line = band[fresh], line[fresh]
+    if not distinct and len(band):
+        same = band[1:] == band[:-1]
+        several = np.r_[False, same] | np.r_[same, False]
+        band, line = band[several], line[several]
+        order = np.lexsort((line, band))
+        band, line = band[order], line[order]
+        fresh = np.r_[True, (band[1:] != band[:-1]) | (line[1:] != line[:-1])] if len(band) else several[:0]
+        band, line = band[fresh], line[fresh]
     if not len(band):
         return band, line, np.empty((0, 2), np.int64), np.zeros(0, bool), np.zeros(0, bool)
     pairs, large, start, size = star(band, line, small)
@@ -237,7 +248,7 @@ def _band_rows(k: int, bands: int, rows: int, small: int):
             if fresh:
                 name = key_numbers([keys[x] for x in fresh])[:, 0]
                 band = band_keys(text_of(fresh), k, bands, rows).ravel().view(np.int64)
-                band, line, pairs, large, on = _starred(band, np.repeat(name, bands), small)
+                band, line, pairs, large, on = _starred(band, np.repeat(name, bands), small, True)
                 packer.add(_ROW, band[on], band[on], line[on])
                 if large.any():  # pairs of small bands come from the task that gathers the band
                     a, b = pairs[np.isin(pairs[:, 0], line[large]) & np.isin(pairs[:, 1], line[large])].T
@@ -261,7 +272,7 @@ def _gather(small: int):
                 else:
                     held[kind].append(rows)
         none = np.empty((2, 0), np.int64)
-        band, line, pairs, large, _ = _starred(*np.concatenate([none, *held[_ROW]], axis=1), small)
+        band, line, pairs, large, _ = _starred(*np.concatenate([none, *held[_ROW]], axis=1), small, False)
         pairs = np.concatenate([pairs.T, *held[_PAIR]], axis=1)
         if pairs.shape[1]:
             pairs = np.unique(pairs, axis=1)
@@ -302,18 +313,9 @@ def _key_bits(batches):
     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([parts[p].tobytes() for p in rows], pa.binary())], ["part", "bits"])
 
 
-def _common(g: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of intersection and union of the shingle sets of lines i and n + i, for i under n."""
-    line = np.repeat(np.arange(2 * n), np.diff(at))
-    order = np.lexsort((g, line % n, line // n))  # distinct within each line first
-    g, line = g[order], line[order]
-    keep = np.r_[True, (g[1:] != g[:-1]) | (line[1:] != line[:-1])]
-    g, pair = g[keep], line[keep] % n
-    order = np.lexsort((g, pair))
-    g, pair = g[order], pair[order]
-    twice = np.flatnonzero((g[1:] == g[:-1]) & (pair[1:] == pair[:-1]))
-    both = np.bincount(pair[twice], minlength=n)
-    return both, np.bincount(pair, minlength=n) - both
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]]
 
 
 def _verify(k: int, percent: int, at_once: int = 500):
@@ -321,9 +323,10 @@ def _verify(k: int, percent: int, at_once: int = 500):
         for whole in batches:
             for i in range(0, whole.num_rows, at_once):
                 b = whole.slice(i, at_once)
+                n = b.num_rows
                 g, at = grams([*b.column("line_a").to_pylist(), *b.column("line_b").to_pylist()], k)
-                both, union = _common(g, at, b.num_rows)
-                part = b.filter(pa.array(100 * both >= percent * union))
+                sets = [_distinct(g[x:y]) for x, y in itertools.pairwise(at.tolist())]
+                part = b.filter(pa.array([similar(sets[j], sets[n + j], percent) for j in range(n)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("a", "a_lo", "b", "b_lo")], ["a", "a_lo", "b", "b_lo"])
 
     return lean(run)
@@ -345,16 +348,19 @@ def _block_links(k: int, percent: int):
         found = []
         for a, z in itertools.pairwise([*start.tolist(), len(order)]):
             rows = order[a:z]
-            sets = {int(r): line_set(text[int(r)].as_py(), k) for r in rows}
-            group = {int(r): int(comp[r]) for r in rows}
-            for x, y in itertools.combinations(map(int, rows), 2):
-                if bi[x] != bj[x] and own[x] == own[y] or group[x] == group[y] or not similar(sets[x], sets[y], percent):
-                    continue
-                found.append((int(node[x]), int(node[y])))
-                old, new = group[y], group[x]
-                for r in group:
-                    if group[r] == old:
-                        group[r] = new
+            g, at = grams([text[int(r)].as_py() for r in rows], k)
+            sets = [_distinct(g[x:y]) for x, y in itertools.pairwise(at.tolist())]
+            size, group, home = np.array([len(x) for x in sets]), comp[rows].copy(), own[rows]
+            cross = bi[rows[0]] != bj[rows[0]]
+            for i in range(len(rows) - 1):
+                # of the rows after this one: not connected yet, of a size that allows the similarity, in the other block
+                later = (group[i + 1 :] != group[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))
+                if cross:
+                    later &= home[i + 1 :] != home[i]
+                for j in (np.flatnonzero(later) + i + 1).tolist():
+                    if group[j] != group[i] and similar(sets[i], sets[j], percent):
+                        found.append((int(node[rows[i]]), int(node[rows[j]])))
+                        group[group == group[j]] = group[i]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return lean(run)
