@@ -39,7 +39,7 @@ WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
 #: Labelled rows of each kind that training reads at most, and the longest text it takes.
 SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 8_000
-WARM_STEPS, STEPS, BATCH = 20, 250, 48
+WARM_STEPS, STEPS, BATCH = 60, 250, 48
 #: Distinct words a worker keeps with their gate inputs before it starts afresh.
 CACHE_WORDS = 100_000
 _TOGETHER = 1024
@@ -286,7 +286,7 @@ class Scorer:
         if self.tables is not None:
             logits, owner, _ = self.tables.windows(docs)
             np.maximum.at(best, owner, logits)
-        return [float(1 / (1 + np.exp(-min(60.0, max(-60.0, x))))) if x > -np.inf else 0.0 for x in best.tolist()]
+        return [round(float(1 / (1 + np.exp(-min(60.0, max(-60.0, x))))), 6) if x > -np.inf else 0.0 for x in best.tolist()]
 
 
 def train(texts: list[str], labels: list[int], hidden: int = HIDDEN, warm: int = WARM_STEPS, steps: int = STEPS, seed: int = 0) -> dict:
