@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strataform.session import lean, ship_package
 
 #: Words of a partition that are kept with their encodings before it starts afresh.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -56,8 +56,8 @@ class MergeTable:
         self.n_ids = max(vocab.values(), default=0) + 1
         left = np.array([vocab[a] for a, _ in merges], np.int64)
         right = np.array([vocab[b] for _, b in merges], np.int64)
-        self.left, self.right = left, right
-        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.left, self.right = left.astype(np.int32), right.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int32)
         keys = left * self.n_ids + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of = keys[order], order
@@ -70,7 +70,7 @@ class MergeTable:
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(left), _NONE)
-        key = left * self.n_ids + right
+        key = left.astype(np.int64) * self.n_ids + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank_of[at], _NONE)
 
@@ -111,15 +111,15 @@ def merge_words(table: MergeTable, symbols: np.ndarray, word_of: np.ndarray) ->
         return symbols, word_of
     if not table.monotone:
         raise ValueError("the merge list uses a symbol before it makes it")
-    sym = symbols.astype(np.int64)
+    sym = symbols.astype(np.int32)
     # one spare slot at the end stands for "no neighbour"
-    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     last = np.r_[word_of[1:] != word_of[:-1], True]
     nxt[last], prv[np.r_[True, last[:-1]]] = n, n
-    sym, nxt, prv = np.r_[sym, -1], np.r_[nxt, n], np.r_[prv, n]
+    sym, nxt, prv = (np.append(x, np.int32(y)) for x, y in ((sym, -1), (nxt, n), (prv, n)))
     alive = np.ones(n + 1, bool)
     index = PairIndex(table)
-    inner = np.flatnonzero(~last)
+    inner = np.flatnonzero(~last).astype(np.int32)
     index.add(table.ranks(sym[inner], sym[inner + 1]), inner)
     while index.active:
         rank, pos = index.pop()
@@ -171,8 +171,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in doc["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         alphabet, end = byte_alphabet(), model.get("end_of_word_suffix") or ""
-        self.inner = np.array([self.vocab[c] for c in alphabet], np.int64)
-        self.final = np.array([self.vocab[c + end] for c in alphabet], np.int64)
+        self.inner = np.array([self.vocab[c] for c in alphabet], np.int32)
+        self.final = np.array([self.vocab[c + end] for c in alphabet], np.int32)
         split = next(p for p in doc["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -236,7 +236,7 @@ class WordBpe:
         symbols = self.inner[flat]
         ends = np.cumsum(size) - 1
         symbols[ends] = self.final[flat[ends]]
-        ids, word_of = merge_words(self.table, symbols, np.repeat(np.arange(len(words)), size))
+        ids, word_of = merge_words(self.table, symbols, np.repeat(np.arange(len(words), dtype=np.int32), size))
         cuts = np.searchsorted(word_of, np.arange(len(words) + 1)).tolist()
         ids = ids.tolist()
         shown = [str(i) for i in ids]
@@ -274,7 +274,7 @@ def loaded(spec: str, cache_words: int = CACHE_WORDS) -> WordBpe:
     return _LOADED[key]
 
 
-def _chunks(texts: list[str | None], limit: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
