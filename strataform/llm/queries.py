@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataform.llm import bpe, chat, decontam, langid, licences, linededup, media, ngram_join, suffixdedup, toxicity
+from strataform.llm import bpe, chat, decontam, langid, licences, linededup, media, ngram_join, oracles, suffixdedup, toxicity
 from strataform.session import table
 
 #: The vocabulary file of `op1`; a parameter of the operator, never copied into the repository.
@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.SQL}
+    return dict(oracles.SQL)
