@@ -67,19 +67,42 @@ def text_of(lines: list[bytes]) -> list[str]:
     return [x.decode("utf-8", "surrogatepass") for x in lines]
 
 
+def _windows(c: np.ndarray, k: int) -> np.ndarray:
+    """The polynomial hash of every k numbers in a row, by doubling window sizes."""
+    width, h, done, out = 1, c, 0, None
+    power = [int(shingles._P)]
+    while True:
+        if k & width:  # the next `width` numbers after those already hashed
+            part = h[done : len(c) - k + done + 1]
+            out = part if out is None else out * np.uint64(pow(power[0], width, 1 << 64)) + part
+            done += width
+        if width * 2 > k:
+            return out
+        h = h[:-width] * np.uint64(pow(power[0], width, 1 << 64)) + h[width:]
+        width *= 2
+
+
 def grams(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of the lines, repeats included, and where each line's begin (one entry more)."""
     size = np.array([len(x) for x in lines], np.int64)
-    data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    power, inverse = shingles._power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * power[: len(data)], out=total[1:])
-    count = np.maximum(size - k + 1, 1)
-    bounds = np.r_[0, np.cumsum(count)]
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    c += np.uint64(1)
     first = np.cumsum(size) - size
-    start = np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], count)
-    end = start + np.repeat(np.minimum(size, k), count)
-    return shingles.mix((total[end] - total[start]) * inverse[start]), bounds
+    bounds = np.r_[0, np.cumsum(np.maximum(size - k + 1, 1))]
+    start = np.arange(len(c)) < np.repeat(np.maximum(first + size - k + 1, first + 1), size)
+    h = np.zeros(len(c), np.uint64)
+    if len(c) >= k:
+        h[: len(c) - k + 1] = _windows(c, k)
+    for i in np.flatnonzero(size < k).tolist():  # the whole line is one shingle
+        x = int(size[i])
+        for v in c[first[i] : first[i] + size[i]].tolist():
+            x = (x * int(shingles._STEP) + v) & 0xFFFFFFFFFFFFFFFF
+        h[first[i]] = x
+    h = h[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h, bounds
 
 
 def line_set(line: str, k: int) -> np.ndarray:
@@ -94,18 +117,44 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
-    """(lines, bands) keys; lines that agree on a band's values have its key in common."""
+#: Shingles of a column and columns of a tile in the signature's layout: a tile stays in the cache.
+_ROWS, _COLUMNS = 32, 1024
+
+
+def signatures(lines: list[str], k: int, hashes: int, limit: int = 60_000) -> np.ndarray:
+    """(hashes, lines): `_signatures` of runs of lines of about `limit` characters, which stay in the cache."""
+    parts = [_signatures(lines[a:b], k, hashes) for a, b in shingles.pieces(lines, limit)]
+    return np.concatenate(parts, axis=1) if parts else np.empty((hashes, 0), np.uint32)
+
+
+def _signatures(lines: list[str], k: int, hashes: int) -> np.ndarray:
+    """(hashes, lines): the least value of each hash function over a line's shingles.
+
+    Shingles are laid out in columns of 32, a line's last column filled with its last shingle, so
+    that a minimum runs over whole rows at once; few columns are left to reduce by line.
+    """
     g, bounds = grams(lines, k)
     g = (g >> np.uint64(32)).astype(np.uint32)
-    seeds = shingles.mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)).astype(np.uint32)
-    lows = np.empty((bands * rows, len(lines)), np.uint32)
-    piece = np.searchsorted(bounds, np.arange(0, bounds[-1], 1 << 16), side="right") - 1  # runs of lines that stay in the cache
-    cuts = np.unique(np.r_[piece, len(lines)])
-    for a, b in itertools.pairwise(cuts.tolist()):
-        part, at = g[bounds[a] : bounds[b]], bounds[a:b] - bounds[a]
-        for r in range(bands * rows):
-            lows[r, a:b] = np.minimum.reduceat(part * (seeds[2 * r] | np.uint32(1)) + seeds[2 * r + 1], at)
+    count = np.diff(bounds)
+    columns = -(-count // _ROWS)
+    first = np.cumsum(columns) - columns
+    owner = np.repeat(np.arange(len(lines)), columns)
+    start = bounds[owner] + (np.arange(len(owner)) - first[owner]) * _ROWS
+    end = bounds[owner + 1] - 1
+    seeds = shingles.mix(np.arange(1, hashes + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+    low = np.empty((hashes, len(owner)), np.uint32)
+    for a in range(0, len(owner), _COLUMNS):
+        tile = g[np.minimum(start[a : a + _COLUMNS] + np.arange(_ROWS)[:, None], end[a : a + _COLUMNS])]
+        room = np.empty_like(tile)
+        for r in range(hashes):
+            np.multiply(tile, seeds[r], out=room)
+            np.minimum.reduce(room, axis=0, out=low[r, a : a + _COLUMNS])
+    return np.minimum.reduceat(low, first, axis=1) if len(lines) else low
+
+
+def band_keys(lines: list[str], k: int, bands: int, rows: int) -> np.ndarray:
+    """(lines, bands) keys; lines that agree on a band's values have its key in common."""
+    lows = signatures(lines, k, bands * rows)
     out = np.empty((len(lines), bands), np.uint64)
     for b in range(bands):
         h = np.full(len(lines), b + 1, np.uint64)
@@ -318,20 +367,27 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]]
 
 
-def _verify(k: int, percent: int, at_once: int = 500):
+def _verify(k: int, percent: int, at_once: int = 1000):
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, at_once):
                 b = whole.slice(i, at_once)
-                n = b.num_rows
-                g, at = grams([*b.column("line_a").to_pylist(), *b.column("line_b").to_pylist()], k)
-                sets = [_distinct(g[x:y]) for x, y in itertools.pairwise(at.tolist())]
-                part = b.filter(pa.array([similar(sets[j], sets[n + j], percent) for j in range(n)], pa.bool_()))
+                number = _Numbers()  # a line is in several pairs, and rows come in order of one side
+                x, y = ([number[t] for t in b.column(c).to_pylist()] for c in ("line_a", "line_b"))
+                g, at = grams(list(number), k)
+                sets = [_distinct(g[p:q]) for p, q in itertools.pairwise(at.tolist())]
+                part = b.filter(pa.array([similar(sets[p], sets[q], percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in ("a", "a_lo", "b", "b_lo")], ["a", "a_lo", "b", "b_lo"])
 
     return lean(run)
 
 
+class _Numbers(dict):
+    def __missing__(self, name: str) -> int:
+        n = self[name] = len(self)
+        return n
+
+
 def _block_links(k: int, percent: int):
     """Links between the lines of two blocks of one band that are not connected yet."""
 
@@ -351,13 +407,18 @@ def _block_links(k: int, percent: int):
             g, at = grams([text[int(r)].as_py() for r in rows], k)
             sets = [_distinct(g[x:y]) for x, y in itertools.pairwise(at.tolist())]
             size, group, home = np.array([len(x) for x in sets]), comp[rows].copy(), own[rows]
+            sketch = np.stack([np.minimum(np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256), 65535) for x in sets]).astype(np.uint16)
             cross = bi[rows[0]] != bj[rows[0]]
             for i in range(len(rows) - 1):
                 # of the rows after this one: not connected yet, of a size that allows the similarity, in the other block
                 later = (group[i + 1 :] != group[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))
                 if cross:
                     later &= home[i + 1 :] != home[i]
-                for j in (np.flatnonzero(later) + i + 1).tolist():
+                later = np.flatnonzero(later) + i + 1
+                # shingles of each of 256 hash ranges bound the overlap from above
+                bound = np.minimum(sketch[later], sketch[i]).sum(axis=1, dtype=np.int64)
+                full = (sketch[i] == 65535).any()
+                for j in later[(bound * (100 + percent) >= percent * (size[later] + size[i])) | full].tolist():
                     if group[j] != group[i] and similar(sets[i], sets[j], percent):
                         found.append((int(node[rows[i]]), int(node[rows[j]])))
                         group[group == group[j]] = group[i]
