@@ -11,11 +11,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_strataform_shipped"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WRITE_CONF = {
     # shuffle files of a write go as soon as it ends
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    # documents are long: fewer rows a batch keep Python workers small
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # fewer rows a batch keep Python workers small
+    _BATCH: "2000",
 }
 
 
@@ -47,9 +48,12 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per SparkContext.
 
     Functions run in Python workers import their modules by name, and a cluster's workers
-    do not see the driver's folders, so the sources travel as a zip file.
+    do not see the driver's folders, so the sources travel as a zip file. Where the session has
+    Spark's own number of rows for an Arrow batch, it gets a smaller one, as documents are long.
     """
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "2000")
     if getattr(sc, _SHIPPED, False):
         return
     root = Path(__file__).resolve().parent
