@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strataform.session import lean, ship_package
 
 #: Words of a partition that are kept with their encodings before it starts afresh.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 60_000
 _NONE = np.iinfo(np.int64).max
 
 

@@ -41,7 +41,7 @@ GRAMS = (3, 4, 5)
 SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 8_000
 WARM_STEPS, STEPS, BATCH = 60, 250, 48
 #: Distinct words a worker keeps with their gate inputs before it starts afresh.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 _TOGETHER = 1024
 _WORD = re.compile(r"\w+").findall
 
