@@ -140,7 +140,7 @@ def relief(ground: DataFrame, mass: DataFrame, dims: tuple[int, int], limit: flo
     """One row: 5th and 95th percentile of ground, their difference, shares of populated and standable cells."""
     g = ground.agg(F.percentile("ground", F.lit(0.05)).alias("low"), F.percentile("ground", F.lit(0.95)).alias("high"), F.count("*").alias("n"))
     free = mass.agg(F.count_if(F.col("mass") <= limit).alias("free"))
-    return g.crossJoin(free).select("low", "high", (F.floor((F.col("high") - F.col("low")) * 1e6 + 0.5) / 1e6).alias("relief"), (F.col("n") / float(dims[0] * dims[1])).alias("populated"), (F.col("free") / F.col("n")).alias("standable"))
+    return g.crossJoin(free).select(_settled(F.col("low")).alias("low"), _settled(F.col("high")).alias("high"), (F.floor((F.col("high") - F.col("low")) * 1e6 + 0.5) / 1e6).alias("relief"), (F.col("n") / float(dims[0] * dims[1])).alias("populated"), (F.col("free") / F.col("n")).alias("standable"))
 
 
 def gap_clusters(points: DataFrame, size: float, top: int) -> DataFrame:

@@ -105,7 +105,7 @@ def j25(s, d):
     return keyed.join(ground(s, d), ["i", "j"]).select("gid", (F.floor((F.col("y") - F.col("ground")) * 1e8 + 0.5) / 1e8).alias("height"))
 
 
-@query("A12_relief", with_("SELECT low, high, floor((high - low) * 1e6 + 0.5) / 1e6 AS relief, n / 441.0::DOUBLE AS populated, free / n::DOUBLE AS standable FROM (SELECT quantile_cont(ground, 0.05) AS low, quantile_cont(ground, 0.95) AS high, count(*) AS n FROM ground), (SELECT count(*) FILTER (WHERE mass <= 0.5) AS free FROM gmass)", "gmass"))
+@query("A12_relief", with_("SELECT floor(low * 1e8 + 0.5) / 1e8 AS low, floor(high * 1e8 + 0.5) / 1e8 AS high, floor((high - low) * 1e6 + 0.5) / 1e6 AS relief, n / 441.0::DOUBLE AS populated, free / n::DOUBLE AS standable FROM (SELECT quantile_cont(ground, 0.05) AS low, quantile_cont(ground, 0.95) AS high, count(*) AS n FROM ground), (SELECT count(*) FILTER (WHERE mass <= 0.5) AS free FROM gmass)", "gmass"))
 def a12(s, d):
     return P.relief(ground(s, d), gmass(s, d), DIMS, 0.5)
 

@@ -1,6 +1,7 @@
 """Every query of the scene operators against its SQL twin in DuckDB, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from strataform.plans import registry
@@ -14,7 +15,7 @@ def rows(df):
 
     def plain(v):
         v = v.item() if hasattr(v, "item") and not hasattr(v, "__len__") else v
-        if v is None or v != v:
+        if v is None or v is pd.NA or isinstance(v, float) and v != v:
             return None
         return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
