@@ -467,12 +467,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     found = materialize(spark, packed.select("kind", "data").mapInArrow(_gather(small), _KINDS), "bands")
     occ = found.filter(F.col("kind") == _LINE).select(F.col("a").alias("hi"), F.col("b").alias("lo"), F.col("c").alias("doc_id"), F.col("d").alias("line_no"))
     roots = materialize(spark, _classes(plain, found, k, percent, block), "roots")
-    each = occ.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
-    each = materialize(spark, each.join(roots, ["hi", "lo"], "left").filter("n > 1 or root is not null"), "line_classes")
-    best = materialize(spark, each.filter("root is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
-    keep = each.join(best, "root", "left").select("hi", "lo", F.coalesce("best", "first").alias("keep"))
-    keep = materialize(spark, keep, "keep")
-    gone = occ.join(keep, ["hi", "lo"]).filter("doc_id <> keep.doc_id or line_no <> keep.line_no")
+    several = occ.groupBy("hi", "lo").agg(F.count("*").alias("n")).filter("n > 1").select("hi", "lo")
+    classes = materialize(spark, several.join(roots, ["hi", "lo"], "full").select("hi", "lo", "root"), "line_classes")
+    rows_of = materialize(spark, occ.join(classes, ["hi", "lo"]), "line_rows")
+    first = rows_of.groupBy("hi", "lo", "root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    first = materialize(spark, first, "first")
+    best = first.filter("root is not null").groupBy("root").agg(F.min("first").alias("best"))
+    keep = materialize(spark, first.join(best, "root", "left").select("hi", "lo", F.coalesce("best", "first").alias("keep")), "keep")
+    gone = rows_of.join(keep, ["hi", "lo"]).filter("doc_id <> keep.doc_id or line_no <> keep.line_no")
     return materialize(spark, gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hi")).alias("lines")), "removals")
 
 
@@ -486,13 +488,13 @@ def _rebuild(names: list[str], text_col: str):
                 if not gone or not t:
                     out.append(t), lost.append(0)
                     continue
-                drop = {(g["line_no"], g["hi"]) for g in gone}
-                numbers = {n for n, _ in drop}
-                forms = normal_lines(t)
-                left = [n for n in range(len(forms)) if n not in numbers or (n, int.from_bytes(key(forms[n])[:8], "little", signed=True)) not in drop]
                 lines = t.split("\n")
-                out.append("\n".join(lines[n] for n in left) if any(forms[n] for n in left) else "")
-                lost.append(len(lines) - len(left))
+                meant = {(g["line_no"], g["hi"]) for g in gone}
+                # rows of one id may have several texts: a line goes only if it is the one that was meant
+                drop = {n for n in {n for n, _ in meant if n < len(lines)} if (n, int.from_bytes(key(normal(lines[n]).encode("utf-8", "surrogatepass"))[:8], "little", signed=True)) in meant}
+                left = [x for n, x in enumerate(lines) if n not in drop]
+                out.append("\n".join(left) if any(map(normal, left)) else "")
+                lost.append(len(drop))
             cols = {text_col: pa.array(out, pa.string()), "n_removed": pa.array(lost, pa.int64())}
             yield pa.RecordBatch.from_arrays([cols[c] if c in cols else b.column(c) for c in names], names)
 
