@@ -432,7 +432,7 @@ def _classes(docs: DataFrame, found: DataFrame, k: int, percent: int, block: int
     spark = docs.sparkSession
     pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").distinct()
     aside = found.filter(F.col("kind") == _ASIDE).select(F.col("a").alias("band"), F.col("b").alias("hi")).distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("hi")).union(aside.select("hi")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("hi")).union(aside.select("hi"))
     parts = wanted.mapInArrow(lean(_key_bits), "part long, bits binary").collect()  # at most 8 MB from each partition
     bits = np.zeros(bloom.FILTER_BITS // 8, np.uint8)
     for p in parts:
@@ -472,30 +472,34 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rows_of = materialize(spark, occ.join(classes, ["hi", "lo"]), "line_rows")
     first = rows_of.groupBy("hi", "lo", "root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     first = materialize(spark, first, "first")
-    best = first.filter("root is not null").groupBy("root").agg(F.min("first").alias("best"))
+    best = materialize(spark, first.filter("root is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
     keep = materialize(spark, first.join(best, "root", "left").select("hi", "lo", F.coalesce("best", "first").alias("keep")), "keep")
     gone = rows_of.join(keep, ["hi", "lo"]).filter("doc_id <> keep.doc_id or line_no <> keep.line_no")
     return materialize(spark, gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hi")).alias("lines")), "removals")
 
 
+_BLANK = " \t\n\r\x0b\x0c"
+
+
 def _rebuild(names: list[str], text_col: str):
     """Documents without the lines listed for them."""
 
     def run(batches):
         for b in batches:
-            out, lost = [], []
+            out, total, lost = [], [], []
             for t, gone in zip(b.column(text_col).to_pylist(), b.column("__lines").to_pylist(), strict=True):
+                lines = t.split("\n") if t else []
+                total.append(sum(x.strip(_BLANK) != "" for x in lines))
                 if not gone or not t:
                     out.append(t), lost.append(0)
                     continue
-                lines = t.split("\n")
                 meant = {(g["line_no"], g["hi"]) for g in gone}
                 # rows of one id may have several texts: a line goes only if it is the one that was meant
                 drop = {n for n in {n for n, _ in meant if n < len(lines)} if (n, int.from_bytes(key(normal(lines[n]).encode("utf-8", "surrogatepass"))[:8], "little", signed=True)) in meant}
                 left = [x for n, x in enumerate(lines) if n not in drop]
                 out.append("\n".join(left) if any(map(normal, left)) else "")
                 lost.append(len(drop))
-            cols = {text_col: pa.array(out, pa.string()), "n_removed": pa.array(lost, pa.int64())}
+            cols = {text_col: pa.array(out, pa.string()), "n_lines": pa.array(total, pa.int64()), "n_removed": pa.array(lost, pa.int64())}
             yield pa.RecordBatch.from_arrays([cols[c] if c in cols else b.column(c) for c in names], names)
 
     return lean(run)
@@ -506,9 +510,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = removals(docs, id_col, text_col, **options)
     made = ["n_lines", "n_removed"]
     filled = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda x: x.rlike(r"\S"))
-    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), F.size(filled).cast("long").alias("n_lines"))
-    names = [*base.columns, "n_removed"]
-    schema = T.StructType([*base.schema.fields, T.StructField("n_removed", T.LongType())])
+    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
+    names = [*base.columns, *made]
+    schema = T.StructType([*base.schema.fields, *(T.StructField(c, T.LongType()) for c in made)])
     clear, maybe = bloom.split(base, id_col, bloom.build(gone, "doc_id", "line_bloom"))
     hit = maybe.join(gone.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")), F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left").drop("__id")
-    return clear.withColumn("n_removed", F.lit(0).cast("long")).unionByName(hit.mapInArrow(_rebuild(names, text_col), schema))
+    whole = clear.withColumn("n_lines", F.size(filled).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
+    return whole.unionByName(hit.mapInArrow(_rebuild(names, text_col), schema))
