@@ -12,7 +12,8 @@ A document's set holds its distinct shingles of `width` words. Two documents lin
 3. Prefix rows are dealt by shingle; a frequent shingle's rows are dealt further by a salt that
    follows its count. Rows that share a shingle make a candidate pair when the length and
    positional filters pass. Pairs with the group's leaders come first. The other pairs of groups
-   of up to `small` rows, and the rows of larger groups, are set aside for step 6.
+   of up to `small` rows, and the rows of larger groups and of salted shingles, are set aside for
+   step 6.
 4. Pairs are made distinct and pass the suffix filter: the number of shingles of each of 256 hash
    ranges bounds the overlap from above.
 5. Each remaining pair is verified once on the two whole sets.
@@ -175,7 +176,8 @@ def _prefix_rows(sent):
                     s, c, at = (np.concatenate(x) for x in zip(*made, strict=True))
                     made = []
                     salts = (_counts(sent.value, s) // SALT_ROWS + 1).astype(np.uint64)
-                    salt = (shingles.mix(c.view(np.uint64)) % salts).astype(np.int32)
+                    # salts count from 1, and a shingle of one salt has 0, so every row tells whether its shingle is salted
+                    salt = np.where(salts > 1, shingles.mix(c.view(np.uint64)) % salts + np.uint64(1), np.uint64(0)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(salt), pa.array(c), pa.array(at)], ["shingle", "salt", "cid", "at"])
 
     return lean(run)
@@ -240,11 +242,8 @@ def _pair_candidates(percent: int, small: int):
             for k in range(0, len(both), 100_000):
                 part = both[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(np.ascontiguousarray(part[:, 0])), pa.array(np.ascontiguousarray(part[:, 1])), pa.array(np.zeros(len(part), np.int64))], ["kind", "a", "b", "at"])
-        # a salted shingle is one group in truth, so its parts are set aside whatever their size
-        aside = np.repeat(size > small, size)
-        if (salt > 0).any():
-            aside |= np.isin(s, np.unique(s[salt > 0]))
-        keep = np.flatnonzero(aside)
+        # a salted shingle is one group in truth, so its parts, of which this task may have one, are set aside whatever their size
+        keep = np.flatnonzero(np.repeat(size > small, size) | (salt > 0))
         for k in range(0, len(keep), 100_000):
             x = keep[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), pa.array(s[x]), pa.array(c[x]), pa.array(at[x])], ["kind", "a", "b", "at"])

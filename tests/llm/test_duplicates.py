@@ -162,6 +162,23 @@ def test_join_equals_brute_force(monkeypatch, docs_of, odd_rows, small, frequent
     assert got == brute_links(rows)
 
 
+def test_join_across_salts_in_separate_tasks(spark, docs_of):
+    """Shingles of more than 2,000 sets but few prefixes: a pair's rows are under two salts, each in a task of its own."""
+    passages = [[f"p{g}x{k}" for k in range(12)] for g in range(8)]
+    rows = [(100 + k, " ".join(x for g, p in enumerate(passages) for x in [*p, *(f"u{k}y{g}z{j}" for j in range(12))])) for k in range(2_100)]
+    rows += [(g, " ".join(p)) for g, p in enumerate(passages)] + [(50 + g, " ".join(p[:11])) for g, p in enumerate(passages)]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "61"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in ngram_join.link(docs_of(rows)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - 50 if 50 <= i < 58 else i for i, _ in rows}
+
+
 def test_keep_one(docs_of, documents, table_rows):
     kept = [r.doc_id for r in ngram_join.keep_one(documents).collect()]
     assert sorted(kept) == sorted({c for _, _, c in brute_links(table_rows)})
