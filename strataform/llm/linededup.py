@@ -8,8 +8,8 @@ that similarity 11 bands of 3 find a pair with probability 0.998, and more the m
 Of each component of links the first line stays, in order of (doc_id, line number).
 
 Large bands do not give all their pairs. A task that meets more than `small` lines of a band
-pairs them with one leader and their neighbours, sends on two of them, and sets all aside; so
-does the task that gathers a band. What was set aside and lies in different components after the
+pairs them with one leader and their neighbours, sends on two of them, marked as such, and sets
+all aside; so does the task that gathers a band, whatever its rows, if any of them is marked. What was set aside and lies in different components after the
 first links is compared in blocks on the spot, and only links leave those tasks.
 
 Defined results
@@ -197,12 +197,13 @@ def star(band: np.ndarray, line: np.ndarray, small: int):
 
 
 #: Kinds of rows: pairs of lines (a, b); a line b set aside for band a; rows (band a, line b) to
-#: gather; occurrences of the line (hi a, lo b) in document c at line d. In the shuffle rows are
-#: packed, column after column, by a bucket of what they are dealt by.
+#: gather; occurrences of the line (hi a, lo b) in document c at line d; rows to gather of a band
+#: that its task has set aside. In the shuffle rows are packed, column after column, by a bucket of
+#: what they are dealt by.
 _PACKED = "bucket int, kind int, data binary"
 _KINDS = "kind int, a long, b long, c long, d long"
-_PAIR, _ASIDE, _ROW, _LINE = 0, 1, 2, 3
-_WIDTH = {_PAIR: 2, _ASIDE: 2, _ROW: 2, _LINE: 4}
+_PAIR, _ASIDE, _ROW, _LINE, _MARKED = 0, 1, 2, 3, 4
+_WIDTH = {_PAIR: 2, _ASIDE: 2, _ROW: 2, _LINE: 4, _MARKED: 2}
 _BUCKETS = 512
 _FLUSH = 600_000
 
@@ -298,7 +299,8 @@ def _band_rows(k: int, bands: int, rows: int, small: int):
                 name = key_numbers([keys[x] for x in fresh])[:, 0]
                 band = band_keys(text_of(fresh), k, bands, rows).ravel().view(np.int64)
                 band, line, pairs, large, on = _starred(band, np.repeat(name, bands), small, True)
-                packer.add(_ROW, band[on], band[on], line[on])
+                for kind, rows_on in ((_ROW, on & ~large), (_MARKED, on & large)):
+                    packer.add(kind, band[rows_on], band[rows_on], line[rows_on])
                 if large.any():  # pairs of small bands come from the task that gathers the band
                     a, b = pairs[np.isin(pairs[:, 0], line[large]) & np.isin(pairs[:, 1], line[large])].T
                     packer.add(_PAIR, a ^ b, a, b)
@@ -321,7 +323,9 @@ def _gather(small: int):
                 else:
                     held[kind].append(rows)
         none = np.empty((2, 0), np.int64)
-        band, line, pairs, large, _ = _starred(*np.concatenate([none, *held[_ROW]], axis=1), small, False)
+        marked = np.concatenate([none, *held[_MARKED]], axis=1)
+        band, line, pairs, large, _ = _starred(*np.concatenate([none, *held[_ROW], marked], axis=1), small, False)
+        large = large | np.isin(band, marked[0])  # the rest of such a band's rows is known only to the task that set it aside
         pairs = np.concatenate([pairs.T, *held[_PAIR]], axis=1)
         if pairs.shape[1]:
             pairs = np.unique(pairs, axis=1)

@@ -115,6 +115,24 @@ def test_line_dedup_equals_brute_force(docs_of, odd_rows, small):
     assert linededup.dedup_lines(docs_of([])).count() == 0
 
 
+def test_few_lines_of_a_band_that_is_large_in_another_batch(spark):
+    """A batch with 18 lines of the only band, and one with near copies of some that it does not send on."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    stem = " ".join(word() for _ in range(6))
+    made = [(x, f"{x} {rng.choice('xyz')}") for x in (" ".join([stem, *(word() for _ in range(6))]) for _ in range(400))]
+    band = lambda lines: linededup.band_keys(lines, 8, 1, 1)[:, 0].tolist()
+    keys = list(zip(band([x for x, _ in made]), band([y for _, y in made]), strict=True))
+    common = collections.Counter(k for k, _ in keys).most_common(1)[0][0]
+    pairs = [m for m, k in zip(made, keys, strict=True) if k == (common, common)][:18]
+    assert len(pairs) == 18
+    rows = [(1, "\n".join(x for x, _ in pairs)), (2, "\n".join(y for _, y in pairs[:12]))]
+    assert brute_lines(rows) == {1: 0, 2: 12}
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(docs, bands=1, rows=1).collect()}
+    assert got == {1: 0, 2: 12}
+
+
 def brute_links(rows, percent=75):
     sets = collections.defaultdict(list)
     for i, t in rows:
