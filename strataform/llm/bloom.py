@@ -7,12 +7,15 @@ same, as every row it lets through meets an exact join afterwards.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.session import materialize
 
 FILTER_BITS = 1 << 26
+#: Bits of one row of a filter's table.
+_ROW = 1 << 15
 
 
 def _hash(key: Column) -> Column:
@@ -35,3 +38,23 @@ def split(df: DataFrame, key: str, bloom: DataFrame) -> tuple[DataFrame, DataFra
     byte = F.conv(F.hex(F.col("__bits").substr(F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False)) & F.col(f"`{key}`").isNotNull()
     return marked.filter(~on).select(*names), marked.filter(on).select(*names)
+
+
+def bits(keys: DataFrame, key: str) -> np.ndarray:
+    """The filter as bytes, for Python workers; `key` is a 64-bit hash already, repeats are welcome.
+
+    Keys travel as numbers and become bits in the task that owns their row, so that at most
+    FILTER_BITS reach the driver, whatever the number of partitions.
+    """
+    h = keys.select(F.col(key).bitwiseAND(F.lit(FILTER_BITS - 1)).alias("h")).select(F.floor(F.col("h") / _ROW).cast("int").alias("part"), (F.col("h") % _ROW).alias("at"))
+    rows = h.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.collect():
+        out[r.part * _ROW // 8 : (r.part + 1) * _ROW // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def among(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit hashes may be in the filter."""
+    h = (key.astype(np.uint64, copy=False) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1

@@ -346,26 +346,12 @@ def _lines_in(sent):
             if not lines:
                 continue
             names = key_numbers([key(x) for x in lines])
-            h = shingles.mix(names[:, 0].copy().view(np.uint64)) & np.uint64(len(bits) * 8 - 1)
-            on = np.flatnonzero((bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1)
+            on = np.flatnonzero(bloom.among(bits, names[:, 0].copy().view(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(names[on, 0]), pa.array(names[on, 1]), pa.array(text_of([lines[i] for i in on]), pa.string())], ["hi", "lo", "line"])
 
     return lean(run)
 
 
-def _key_bits(batches):
-    """(part, bits): this partition's bits in parts of 32,768 bits."""
-    parts: dict[int, np.ndarray] = {}
-    for b in batches:
-        h = np.sort(shingles.mix(b.column(0).to_numpy().view(np.uint64)) & np.uint64(bloom.FILTER_BITS - 1)).astype(np.int64)
-        for group in np.split(h, np.flatnonzero(np.diff(h >> 15)) + 1):
-            if len(group):
-                own = parts.setdefault(int(group[0] >> 15), np.zeros(4096, np.uint8))
-                np.bitwise_or.at(own, (group & 32767) >> 3, np.left_shift(1, group & 7).astype(np.uint8))
-    rows = sorted(parts)
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([parts[p].tobytes() for p in rows], pa.binary())], ["part", "bits"])
-
-
 def _distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     return x[np.r_[True, x[1:] != x[:-1]]]
@@ -436,11 +422,8 @@ def _classes(docs: DataFrame, found: DataFrame, k: int, percent: int, block: int
     spark = docs.sparkSession
     pairs = found.filter(F.col("kind") == _PAIR).select("a", "b").distinct()
     aside = found.filter(F.col("kind") == _ASIDE).select(F.col("a").alias("band"), F.col("b").alias("hi")).distinct()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("hi")).union(aside.select("hi")).distinct()
-    parts = wanted.mapInArrow(lean(_key_bits), "part long, bits binary").collect()  # at most 8 MB from each partition
-    bits = np.zeros(bloom.FILTER_BITS // 8, np.uint8)
-    for p in parts:
-        bits[p.part * 4096 : (p.part + 1) * 4096] |= np.frombuffer(bytes(p.bits), np.uint8)
+    named = F.when(F.col("kind") == _PAIR, F.array("a", "b")).otherwise(F.array("b"))
+    bits = bloom.bits(found.filter(F.col("kind").isin(_PAIR, _ASIDE)).select(F.explode(named).alias("hi")), "hi")
     lines = docs.mapInArrow(_lines_in(spark.sparkContext.broadcast(bits)), "hi long, lo long, line string")
     lines = materialize(spark, lines.dropDuplicates(["hi", "lo"]).withColumn("node", F.monotonically_increasing_id()), "lines")
     of = lambda c: lines.select(F.col("hi").alias(c), F.col("node").alias(f"{c}_lo"), F.col("line").alias(f"line_{c}"))

@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm import shingles
-from strataform.llm.bloom import FILTER_BITS
+from strataform.llm import bloom, shingles
 from strataform.session import lean, materialize, ship_package
 
 LENGTH, K = 50, 16
@@ -91,43 +90,6 @@ def _seeds(length: int, k: int):
     return lean(run)
 
 
-def _bits(batches):
-    """(part, bits) of this partition's seeds, in parts of 32,768 bits."""
-    parts: dict[int, np.ndarray] = {}
-    for b in batches:
-        h = np.sort(shingles.mix(b.column(0).to_numpy().view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(h >> 15)) + 1
-        for group in np.split(h, cuts):
-            if len(group):
-                own = parts.setdefault(int(group[0] >> 15), np.zeros(4096, np.uint8))
-                np.bitwise_or.at(own, (group & 32767) >> 3, np.left_shift(1, group & 7).astype(np.uint8))
-    rows = sorted(parts)
-    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([parts[p].tobytes() for p in rows], pa.binary())], ["part", "bits"])
-
-
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """A Bloom filter of seeds, of 8 MB at most: parts are united in Spark, each part in one row."""
-
-    def unite(batches):
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = parts.setdefault(p, np.zeros(4096, np.uint8))
-                own |= np.frombuffer(x, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], ["part", "bits"])
-
-    schema = "part long, bits binary"
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in seeds.mapInArrow(lean(_bits), schema).repartition("part").mapInArrow(lean(unite), schema).collect():
-        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
-def _on(bits: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    h = (shingles.mix(seed) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-    return (bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
-
-
 _ROWS = "kind int, id long, th long, at long, hi long, lo long, n long, words binary"
 _DOC, _ENTRY, _PLACE, _PASSAGE = 0, 1, 2, 3
 
@@ -149,12 +111,12 @@ def _entries(again, hot, length: int, k: int):
             ids_, th_ = np.array([-1 if i is None else i for i in ids], np.int64), np.array(ths, np.int64)
             yield _row(_DOC, len(ids), id=ids, th=ths, n=np.diff(bounds))
             at, seed = anchors(h, bounds, length, k)
-            keep = _on(again.value, seed)
+            keep = bloom.among(again.value, seed)
             at, seed = at[keep], seed[keep]
             if not len(at):
                 continue
             doc = np.searchsorted(bounds, at, side="right") - 1
-            some = _on(hot.value, seed)
+            some = bloom.among(hot.value, seed)
             if some.any():
                 yield from _passages(h, bounds, at[some], doc[some], ids_, th_, length, before)
             at, seed, doc = at[~some], seed[~some], doc[~some]
@@ -254,8 +216,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"), F.col(f"`{text_col}`").alias("text"))
     seeds = rows.mapInArrow(_seeds(length, k), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1")
     seeds = materialize(spark, seeds, "seeds")
-    again = spark.sparkContext.broadcast(_filter(seeds.select("seed")))
-    busy = spark.sparkContext.broadcast(_filter(seeds.filter(F.col("n") > hot).select("seed")))
+    again = spark.sparkContext.broadcast(bloom.bits(seeds, "seed"))
+    busy = spark.sparkContext.broadcast(bloom.bits(seeds.filter(F.col("n") > hot), "seed"))
     made = materialize(spark, rows.mapInArrow(_entries(again, busy, length, k), _ROWS), "suffixes")
     kind = lambda x: made.filter(F.col("kind") == x)
 
