@@ -6,6 +6,9 @@ unites again; then replaces each parent by its own parent. A node that very many
 therefore never brings its edges into one task: it is a parent in most rows, and rows are dealt
 by child. The join of the last step may meet a hot parent; both its sides are plain shuffles, so
 adaptive execution can split it. Every round is written to the shared folder.
+
+A round's first uniting has a task for every `AT_ONCE` rows, however many files hold them, so few
+rows meet in few tasks; where one task has them all, its result is the answer.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from strataform.session import lean, materialize, ship_package
 
 MAX_ROUNDS = 60
+#: Rows that one task unites first; 16 bytes each.
+AT_ONCE = 100_000
 
 
 def min_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,13 +73,19 @@ def _unite(batches):
 def components(spark: SparkSession, edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): every node that an edge touches, except each component's smallest, with that smallest node.
 
-    Edges with a null end or with two equal ends are ignored; an empty table gives an empty one.
+    `edges` is a written table, as it is read more than once; an earlier result is a set of edges
+    too. Edges with a null end or with two equal ends are ignored; an empty table gives an empty one.
     """
     ship_package(spark)
     schema = "node long, parent long"
     rows = edges.select(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("parent")).filter("node <> parent")
+    n = rows.count()
     for k in range(MAX_ROUNDS):
-        united = materialize(spark, rows.mapInArrow(lean(_unite), schema).repartition("node").mapInArrow(lean(_unite), schema), f"cc{k}")
+        tasks = max(1, -(-n // AT_ONCE))
+        own = rows.coalesce(tasks).mapInArrow(lean(_unite), schema)
+        if tasks == 1:
+            return materialize(spark, own.select("node", F.col("parent").alias("component")), "cc")
+        united = materialize(spark, own.repartition("node").mapInArrow(lean(_unite), schema), f"cc{k}")
         up = united.groupBy(F.col("node").alias("parent")).agg(F.min("parent").alias("above"))
         jumped = materialize(spark, united.join(materialize(spark, up, f"up{k}"), "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().cast("long").alias("moved")), f"jump{k}")
         moved, n, distinct = jumped.agg(F.coalesce(F.sum("moved"), F.lit(0)), F.count("*"), F.count_distinct("node")).first()

@@ -440,7 +440,7 @@ def _classes(docs: DataFrame, found: DataFrame, k: int, percent: int, block: int
         dealt = dealt.select("band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "comp", "line")
         rest = materialize(spark, dealt.repartition("band", "bi", "bj").mapInArrow(_block_links(k, percent), "a long, b long"), "rest")
         if not rest.isEmpty():
-            comp = components(spark, links.union(rest), "a", "b")
+            comp = components(spark, comp.toDF("a", "b").union(rest), "a", "b")
     comp = materialize(spark, comp.union(comp.select(F.col("component").alias("node"), "component").distinct()), "line_components")
     return lines.join(comp, "node").select("hi", "lo", F.col("component").alias("root"))
 

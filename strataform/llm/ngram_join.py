@@ -383,27 +383,25 @@ class _Join:
         joined = pairs.join(side("a"), "a").join(side("b"), "b").filter("rep_a <> rep_b" if comp is None else "comp_a <> comp_b")
         return materialize(self.spark, joined.mapInArrow(_suffix_filter(self.percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
 
-    def links(self) -> DataFrame:
-        """Enough verified links (a, b) between class representatives to connect all that any links connect."""
+    def connected(self) -> DataFrame:
+        """(node, component) of class representatives, from enough verified links to connect all that any links connect."""
         found = self.candidates()
         kind = lambda k: found.filter(F.col("kind") == k)
-        links = self.verified(self.near(kind(0).select("a", "b").distinct(), "near"), "first")
+        comp = components(self.spark, self.verified(self.near(kind(0).select("a", "b").distinct(), "near"), "first"), "a", "b")
         others, large = not kind(2).isEmpty(), not kind(1).isEmpty()
-        if others or large:
-            comp = components(self.spark, links, "a", "b")
-            rest = []
-            if others:
-                rest.append(self.near(kind(2).select("a", "b").distinct(), "others", comp))
-            if large:
-                rest.append(self.residue(kind(1), comp))
+        rest = []
+        if others:
+            rest.append(self.near(kind(2).select("a", "b").distinct(), "others", comp))
+        if large:
+            rest.append(self.residue(kind(1), comp))
+        if rest:
             rest = materialize(self.spark, functools.reduce(DataFrame.union, rest).distinct(), "rest")
             if not rest.isEmpty():
-                links = links.union(self.verified(rest, "second"))
-        return links
+                comp = components(self.spark, comp.toDF("a", "b").union(self.verified(rest, "second")), "a", "b")
+        return comp
 
     def link(self) -> DataFrame:
-        comp = components(self.spark, self.links(), "a", "b")
-        grouped = self.classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("root"))
+        grouped = self.classes.join(self.connected().withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("root"))
         grouped = materialize(self.spark, grouped, "grouped")
         rows = self.profiles.select("id", "n", "hi", "lo").join(grouped, ["hi", "lo"], "left")
         return rows.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
