@@ -44,9 +44,18 @@ _BATCH = 1_000_000
 _SEEN = 100_000
 
 
+#: What a text whose lines are all in normal form, but for case, does not have.
+_ODD = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+
+
 def normal_lines(text: str | None) -> list[bytes]:
     """The normal form of every line of a text, as UTF-8."""
-    return [b" ".join(x.split()) for x in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
+    if not text:
+        return []
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    if raw[0] != 32 and raw[-1] != 32 and not any(x in raw for x in _ODD):
+        return raw.split(b"\n")
+    return [b" ".join(x.split()) for x in raw.split(b"\n")]
 
 
 def normal(line: str) -> str:

@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,68 @@ def test_few_lines_of_a_band_that_is_large_in_another_batch(spark):
     assert got == {1: 0, 2: 12}
 
 
+def test_line_dedup_over_many_partitions_equals_brute_force(spark):
+    """40 families of near copies, a few lines of each in every one of 16 partitions."""
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    families = [line(24) for _ in range(40)]
+    rows = []
+    for k in range(160):
+        out = []
+        for base in rng.sample(families, 4):
+            x = base.split()
+            x[rng.randrange(len(x))] = line(1)
+            out.append(" ".join(x))
+        rows.append((k, "\n".join(out)))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "61"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 16), "doc_id long, text string")
+        got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(docs, small=3, block=7).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_lines(rows)
+
+
+def test_line_dedup_of_the_table_equals_brute_force(documents, table_rows):
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(documents).collect()}
+    assert got == brute_lines(table_rows)
+
+
+def similar_lines(lines, k=8, percent=75):
+    """All pairs of lines at the similarity, by prefixes of rare shingles."""
+    sets = [{x[j : j + k] for j in range(max(1, len(x) - k + 1))} for x in lines]
+    count = collections.Counter(g for s in sets for g in s)
+    held, found = collections.defaultdict(list), set()
+    for i, s in enumerate(sets):
+        order = sorted(s, key=lambda g: (count[g], g))
+        for g in order[: len(s) - (len(s) * percent + 99) // 100 + 1]:
+            for j in held[g]:
+                if (j, i) not in found and 100 * min(len(s), len(sets[j])) >= percent * max(len(s), len(sets[j])):
+                    o = len(s & sets[j])
+                    if 100 * o >= percent * (len(s) + len(sets[j]) - o):
+                        found.add((j, i))
+            held[g].append(i)
+    return found
+
+
+def test_recall_of_the_bands():
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    lines = sorted({x for t in rows for x in linededup.text_of(linededup.normal_lines(t)) if x})
+    pairs = similar_lines(lines)
+    keys = linededup.band_keys(lines, linededup.K, linededup.BANDS, linededup.ROWS)
+    hit = sum(bool((keys[a] == keys[b]).any()) for a, b in pairs)
+    assert len(pairs) > 100 and hit >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("text", ["a b\nc", " a b", "a b ", "a  b", "a\tb", "a \n b", "A\r\nB", "\n\n", "Ä\x0bx", " ", "a\x1cb"])
+def test_normal_lines(text):
+    assert linededup.normal_lines(text) == [linededup.normal(x).encode() for x in text.split("\n")]
+
+
 def brute_links(rows, percent=75):
     sets = collections.defaultdict(list)
     for i, t in rows:
@@ -206,7 +269,9 @@ def test_keep_one(docs_of, documents, table_rows):
     assert ngram_join.keep_one(docs_of([])).count() == 0
 
 
-def test_components_of_hubs_and_paths(spark):
+@pytest.mark.parametrize("at_once", [100_000, 20])
+def test_components_of_hubs_and_paths(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "AT_ONCE", at_once)
     edges = [(k + 1, k) for k in range(50)] + [(1000, 2000 + k) for k in range(300)] + [(9, 9), (None, 3)]
     got = {r.node: r.component for r in components.components(spark, spark.createDataFrame(edges, "a long, b long").repartition(7), "a", "b").collect()}
     assert got == {k: 0 for k in range(1, 51)} | {2000 + k: 1000 for k in range(300)}
