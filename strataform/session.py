@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -66,14 +67,31 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset on a local master."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='strataform-shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def release_memory() -> None:
+    """Hand memory that this process has freed back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect(0)
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def lean(run):
     """A mapInArrow function that hands freed memory back to the system when its partition ends.
 
@@ -84,17 +102,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow
-
-            gc.collect(0)
-            pyarrow.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # not glibc
-                pass
+            release_memory()
 
     return wrapped
 
