@@ -2,10 +2,14 @@
 
 The network reads UTF-8 bytes in both directions, gives every position a distribution over the
 languages it was trained on, and a document's distribution is the mean over all its positions.
-It is trained in NumPy by backpropagation through time on a bounded sample of labelled rows.
+It is trained in NumPy by backpropagation through time on spans from a sample of whole texts that
+is bounded in rows.
 
-Texts of any length are read whole, in pieces of `PIECE` bytes with `CONTEXT` bytes of warm-up on
-either side, so all pieces of a batch advance together and memory stays bounded.
+Every text is read whole, in windows that overlap, as the network learns from short spans too: of
+every `PIECE` bytes the labels are counted, and `CONTEXT` bytes more on either side are read for
+them. That is the definition at every length; a text of at most `PIECE` bytes is one window. So all
+windows of a batch advance together, and a text of any length is no chain of steps of its own. A
+test compares long texts with one pass over all of their bytes.
 
 Defined results
     null text, or text without a letter (by str.isalpha): lang_pred 'und', score 0.0.
@@ -26,9 +30,9 @@ from strataform.llm import gru
 from strataform.session import lean, ship_package
 
 HIDDEN = 8
-PIECE, CONTEXT = 496, 8
-#: Rows of one language that training reads at most, and the bytes it takes from each of them.
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 4_000
+PIECE, CONTEXT = 480, 32
+#: Documents of one language that training reads at most, whole.
+SAMPLE_ROWS = 400
 STEPS, BATCH, SPAN = 400, 64, 64
 _PAD = 256
 _TOGETHER = 1024
@@ -168,23 +172,30 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     return source.mapInArrow(lean(run), schema)
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """At most `rows` labelled texts of each language, in order of a hash of the id; of each, `size` characters from a hashed place on."""
-    from pyspark.sql import Window
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
+    """Whole texts and languages of at most `rows` documents of each language, in order of a hash of the id.
 
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    order = F.xxhash64(F.col(id_col), F.lit("lang"))
-    counts = labelled.groupBy(lang_col).count().collect()
+    Ids are chosen first, and only their texts are fetched; of an id with several texts, the least.
+    An id with several languages counts as the least of them.
+    """
+    labelled = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("t")).filter("i is not null and lang is not null and t is not null and t <> ''")
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return [], []
-    # thin out by hash first, so that the ranking below sees about four times what it keeps
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[lang_col], min(1.0, 4.0 * rows / r["count"]))))
-    thin = labelled.filter(F.pmod(order, F.lit(1_000_000)) < share[F.col(lang_col)] * 1_000_000)
-    start = F.pmod(F.xxhash64(F.col(id_col)), F.greatest(F.length(text_col) - size, F.lit(1))).cast("int") + 1
-    cut = thin.select(F.col(lang_col).alias("lang"), F.col(text_col).substr(start, F.lit(size)).alias("text"), order.alias("o"), F.col(id_col).alias("i"))
-    best = cut.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("o", "i", "text"))).filter(F.col("rn") <= rows)
-    got = best.select("lang", "text").orderBy("lang", "rn").collect()
-    return [r.text for r in got], [r.lang for r in got]
+    order = F.pmod(F.xxhash64("i", F.lit("lang")), F.lit(1_000_000_000))
+    # thin out by hash first, so that about four times the rows that are kept reach the driver, as ids
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * rows / n))))
+    thin = labelled.select("i", "lang", order.alias("o")).filter(F.col("o") < share[F.col("lang")] * 1_000_000_000)
+    found = sorted(thin.groupBy("i", "o").agg(F.min("lang").alias("lang")).collect(), key=lambda r: (r.lang, r.o, r.i))
+    picked, taken = {}, dict.fromkeys(counts, 0)
+    for r in found:
+        if taken[r.lang] < rows:
+            taken[r.lang] += 1
+            picked[r.i] = (len(picked), r.lang)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], labelled.select("i").schema)
+    got = labelled.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("t").alias("t")).collect()
+    got.sort(key=lambda r: picked[r.i][0])
+    return [r.t for r in got], [picked[r.i][1] for r in got]
 
 
 def held_out(doc_id, fold: int = 3, rest: int = 1):

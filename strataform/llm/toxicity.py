@@ -1,14 +1,16 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A text's words are read in overlapping windows of `WINDOW` words, `STRIDE` apart, which together
-cover the whole text. A word's input joins a word embedding (hashed) and the mean embedding of its
-character n-grams (hashed), so spellings never seen in training still carry their parts. The two
+cover the whole text. A word's input joins a word embedding (hashed) and the embeddings of its
+character n-grams (hashed; their sum over the root of their number), so spellings never seen in training still carry their parts. The two
 directions' states are pooled by learned attention into one score for each window; a document
 scores as its highest window does.
 
-Training is in NumPy, by backpropagation through time, on a bounded sample of labelled rows. As
-labels are for documents, not windows, the first steps learn from random windows and the rest
-from each document's highest window and one random one of documents without the label.
+Training is in NumPy, by backpropagation through time, from random tables, on a sample of whole
+texts that is bounded in rows. As labels are for documents, not windows, the first steps learn from
+random windows and the rest from each document's highest window and one random one of documents
+without the label. Half the word embeddings are hidden in every step, so that the character n-grams
+learn as well, and the parameters are the mean over the last steps.
 
 Defined results
     null or empty text, or text without a word: score 0.0, predicted 0.
@@ -30,19 +32,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform.llm import gru, shingles
-from strataform.session import lean, ship_package
+from strataform.session import lean, release_memory, ship_package
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 8, 16, 8
 #: Rows of the two hashed embedding tables.
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5)
-#: Labelled rows of each kind that training reads at most, and the longest text it takes.
-SAMPLE_ROWS, SAMPLE_CHARS = 1_500, 8_000
-WARM_STEPS, STEPS, BATCH = 60, 250, 48
+#: Labelled documents of each kind that training reads at most, whole.
+SAMPLE_ROWS = 1_500
+WARM_STEPS, STEPS, BATCH = 60, 440, 48
+#: Share of the words of a step whose own embedding is hidden.
+HIDE = 0.5
+#: Share of the steps at the full learning rate; over the rest it is lower, and parameters are averaged.
+FULL_RATE = 0.6
+#: Words whose n-grams are hashed at a time.
+_AT_ONCE = 20_000
 #: Distinct words a worker keeps with their gate inputs before it starts afresh.
 CACHE_WORDS = 50_000
-_TOGETHER = 1024
+_TOGETHER = 512
 _WORD = re.compile(r"\w+").findall
 
 
@@ -58,6 +66,12 @@ class _Codes(dict):
 
 def features(vocab: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word its row of the word table, and flat rows of the character table with bounds."""
+    parts = [_features(vocab[a : a + _AT_ONCE]) for a in range(0, len(vocab), _AT_ONCE)]
+    whole, rows, counts = (np.concatenate([p[k] for p in parts] or [np.empty(0, np.int32)]) for k in range(3))
+    return whole, rows, np.r_[0, np.cumsum(counts)]
+
+
+def _features(vocab: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shown = [f"<{w}>" for w in vocab]
     size = np.array([len(w) for w in shown], np.int64)
     data = np.frombuffer("".join(shown).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
@@ -71,13 +85,12 @@ def features(vocab: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(n):
             at = start + k
             h = shingles.mix(h ^ np.where(at < first[of] + size[of], data[np.minimum(at, len(data) - 1)], np.uint64(0)))
-        rows.append((h % np.uint64(CHAR_ROWS)).astype(np.int64))
+        rows.append((h % np.uint64(CHAR_ROWS)).astype(np.int32))
         owner.append(of)
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    bounds = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(shown)))]
-    whole = (shingles.span_hashes(np.frombuffer("".join(shown).encode("utf-8", "surrogatepass") + b"\0", np.uint8), *_spans(shown)) % np.uint64(WORD_ROWS)).astype(np.int64)
-    return whole, np.concatenate(rows)[order], bounds
+    whole = (shingles.span_hashes(np.frombuffer("".join(shown).encode("utf-8", "surrogatepass") + b"\0", np.uint8), *_spans(shown)) % np.uint64(WORD_ROWS)).astype(np.int32)
+    return whole, np.concatenate(rows)[order], np.bincount(owner, minlength=len(shown))
 
 
 def _spans(shown: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +99,7 @@ def _spans(shown: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def inputs(params: dict, whole: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    chars = np.add.reduceat(params["chars"][grams], bounds[:-1], axis=0) / np.diff(bounds)[:, None]
+    chars = np.add.reduceat(params["chars"][grams], bounds[:-1], axis=0) / np.sqrt(np.diff(bounds))[:, None]
     return np.concatenate([params["words"][whole], chars], axis=1).astype(np.float32)
 
 
@@ -126,26 +139,8 @@ class _Trainer:
         self.opt = gru.Adam(self.params, 0.01)
         codes = _Codes()
         self.docs = [np.array([codes[w] for w in words(t)], np.int64) for t in texts]
-        self.whole, self.grams, self.bounds = features(list(codes)) if codes else (np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64))
+        self.whole, self.grams, self.bounds = features(list(codes))
         self.of = [[k for k, y in enumerate(labels) if y == c and len(self.docs[k])] for c in (0, 1)]
-        if codes:
-            self._start_from_counts()
-
-    def _start_from_counts(self) -> None:
-        """Each table's first column starts at the cautious log odds of its rows between the two labels.
-
-        Of a row's log odds only what exceeds 1.64 standard errors counts, so that what few
-        documents have starts near 0.
-        """
-        total = np.array([len(x) for x in self.of], np.float64)[:, None]
-        for key, rows_of in (("words", lambda d: self.whole[d]), ("chars", lambda d: np.concatenate([self.grams[self.bounds[w] : self.bounds[w + 1]] for w in d]))):
-            seen = np.zeros((2, len(self.params[key])))
-            for c in (0, 1):
-                for k in self.of[c]:
-                    seen[c, np.unique(rows_of(np.unique(self.docs[k])))] += 1
-            odds = np.log((seen[1] + 1) / (total[1] + 2)) - np.log((seen[0] + 1) / (total[0] + 2))
-            error = 1.64 * np.sqrt(1 / (seen[0] + 1) + 1 / (seen[1] + 1))
-            self.params[key][:, 0] = np.sign(odds) * np.maximum(np.abs(odds) - error, 0)
 
     def window(self, k: int, at: int) -> np.ndarray:
         return self.docs[k][at : at + WINDOW]
@@ -163,6 +158,8 @@ class _Trainer:
         flat = np.concatenate([self.grams[a:b] for a, b in zip(self.bounds[used], self.bounds[used + 1], strict=True)])
         cuts = np.r_[0, np.cumsum(lengths)]
         v = inputs(p, self.whole[used], flat, cuts)
+        open_ = (self.rng.random((len(used), 1)) >= HIDE).astype(np.float32)
+        v[:, :WORD_DIM] *= open_
         pad = gru.pad_row(hidden)
         gf, gb = (np.concatenate([v @ p[k], pad[None]])[x] for k in ("wf", "wb"))
         hf, kf = gru.trace(gf, p["uf"], False)
@@ -184,7 +181,7 @@ class _Trainer:
             grads[key] = v.T @ total
             dv += total @ p[key].T
         rows = {}
-        for key, at_rows, g in (("words", self.whole[used], dv[:, :WORD_DIM]), ("chars", flat, np.repeat(dv[:, WORD_DIM:] / lengths[:, None], lengths, axis=0))):
+        for key, at_rows, g in (("words", self.whole[used], dv[:, :WORD_DIM] * open_), ("chars", flat, np.repeat(dv[:, WORD_DIM:] / np.sqrt(lengths)[:, None], lengths, axis=0))):
             rows[key], back = np.unique(at_rows, return_inverse=True)
             grads[key] = np.zeros((len(rows[key]), g.shape[1]), np.float32)
             np.add.at(grads[key], back, g)
@@ -209,6 +206,7 @@ class _Trainer:
         rng = self.rng
         if not self.of[0] or not self.of[1]:
             return {}
+        mean, n = {k: x.astype(np.float64) for k, x in self.params.items()}, 0
         for step in range(warm + steps):
             half = BATCH // 2
             picked = [self.of[c][i] for c in (0, 1) for i in rng.integers(0, len(self.of[c]), half).tolist()]
@@ -220,8 +218,13 @@ class _Trainer:
                 best = self.best_windows(picked)
                 parts = [self.window(k, a) for k, a in zip(picked, best, strict=True)] + [self.window(k, a) for k, a in zip(picked[:half], at[:half], strict=True)]
                 label = np.r_[label, np.zeros(half, np.float32)]
-            self.learn(parts, label, 1.0 if step < warm + steps * 0.6 else 0.3)
-        return self.params
+            full = step < warm + steps * FULL_RATE
+            self.learn(parts, label, 1.0 if full else 0.3)
+            if not full:
+                n += 1
+                for k, x in self.params.items():
+                    mean[k] += (x - mean[k]) / n
+        return {k: x.astype(np.float32) for k, x in (mean if n else self.params).items()}
 
 
 class Tables:
@@ -291,7 +294,9 @@ class Scorer:
 
 def train(texts: list[str], labels: list[int], hidden: int = HIDDEN, warm: int = WARM_STEPS, steps: int = STEPS, seed: int = 0) -> dict:
     """Parameters learned from labelled texts; empty if one of the labels has no text with a word."""
-    return _Trainer(texts, labels, hidden, seed).fit(warm, steps)
+    model = _Trainer(texts, labels, hidden, seed).fit(warm, steps)
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -317,19 +322,27 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     return source.mapInArrow(lean(run), schema)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """At most `rows` labelled texts of each label of at most `chars` characters, in order of a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of at most `rows` documents of each label, in order of a hash of the id.
+
+    Ids are chosen first, and only their texts are fetched; of an id with several texts, the least.
+    An id with both labels has label 1.
+    """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
-    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter(F.length("t").between(1, chars))
-    order = F.xxhash64("i", F.lit("toxic"))
-    ids = known.withColumn("o", order)
+    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).filter("t is not null and t <> ''")
     total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    out: list = []
-    for y in (0, 1):
-        share = min(1.0, 8.0 * rows / max(1, total.get(y, 0)))  # a bounded set of ids, some of whose texts are too long
-        some = F.broadcast(ids.filter((F.col("y") == y) & (F.pmod("o", F.lit(1_000_000)) < share * 1_000_000)))
-        out += texts.join(some, "i").orderBy("o", "i", "t").limit(rows).select("t", "y").collect()
-    return [r.t for r in out], [r.y for r in out]
+    order = F.pmod(F.xxhash64("i", F.lit("toxic")), F.lit(1_000_000_000))
+    # a bounded set of ids, some of which may have no text
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, 8.0 * rows / max(1, total.get(1, 0))))).otherwise(F.lit(min(1.0, 8.0 * rows / max(1, total.get(0, 0)))))
+    some = known.withColumn("o", order).filter(F.col("o") < share * 1_000_000_000)
+    found = texts.select("i").join(F.broadcast(some), "i").distinct().collect()
+    picked = {r.i: (r.y, k) for y in (0, 1) for k, r in enumerate(sorted((r for r in found if r.y == y), key=lambda r: (r.o, r.i))[:rows])}
+    if not picked:
+        return [], []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], known.select("i").schema)
+    got = texts.join(F.broadcast(ids), "i").groupBy("i").agg(F.min("t").alias("t")).collect()
+    got.sort(key=lambda r: picked[r.i])
+    return [r.t for r in got], [picked[r.i][0] for r in got]
 
 
 def held_out(doc_id, fold: int = 5):
