@@ -173,3 +173,57 @@ def test_licences_find_every_planted_notice(docs_of, odd_rows):
     assert len(odd) == len(odd_rows) and [list(r.licences) for r in odd if r.doc_id == 9] == [["all-rights-reserved"]]
     assert licences.scan(docs_of(odd_rows), templates=()).filter("size(licences) > 0").count() == 0
     assert licences.scan(docs_of([])).count() == 0
+
+
+def brute_windows(text, templates, percent=80, k=6):
+    """For each template the windows that hold enough of it, by the definition of windows alone."""
+    line = licences.normal(text)
+    grams = [line[i : i + k] for i in range(max(1, len(line) - k + 1))]
+    out = []
+    for t, (_, template) in enumerate(templates):
+        want = licences.normal(template)
+        mine = {want[i : i + k] for i in range(max(1, len(want) - k + 1))}
+        half = 32
+        while half < len(want):
+            half *= 2
+        for at in range(0, len(grams), half):
+            held = len(mine.intersection(grams[at : at + 2 * half]))
+            if 100 * held >= percent * len(mine):
+                out.append((t, at, held))
+    return out
+
+
+def test_licence_bands_find_what_every_window_holds():
+    rng = random.Random(8)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    scanner = licences.Scanner()
+    expected = found = 0
+    texts = []
+    for _ in range(60):
+        parts = [filler(rng.randint(0, 60))]
+        for _, notice in rng.sample(licences.TEMPLATES, 3):
+            words = notice.split()
+            for _ in range(rng.randint(0, len(words) // 25)):
+                words[rng.randrange(len(words))] = filler(1)
+            parts += [" ".join(words), filler(rng.randint(0, 300))]
+        texts.append(" ".join(parts))
+    _, spots = scanner.scan(texts)
+    for text, got in zip(texts, spots, strict=True):
+        want = brute_windows(text, licences.TEMPLATES)
+        held = {(t, at): n for t, at, n in want}
+        assert all(held[t, at] == n for t, n, at in got)  # what is found is a window that holds as much
+        expected += len({t for t, _, _ in want})
+        found += len({t for t, _, _ in got})
+    assert expected > 150 and found >= 0.99 * expected
+
+
+def test_licence_spots_are_all_returned(spark, docs_of):
+    notice = dict(licences.TEMPLATES)["unlicense"]
+    far = " ".join(f"w{k}" for k in range(300))
+    rows = [(1, f"{notice} {far} {notice} {far} {notice}"), (2, None), (3, "")]
+    table = spark.createDataFrame([("own", notice), (None, None), ("blank", " ")], "name string, text string")
+    got = {r.doc_id: r for r in licences.scan(docs_of(rows), templates=table).collect()}
+    assert [s.name for s in got[1].spots] == ["own"] * 3 and got[1].licences == ["own"]
+    assert got[2].spots == [] == got[3].spots
+    with pytest.raises(ValueError):
+        licences.template_rows(table.withColumn("text", F.repeat(F.lit("x"), licences.MAX_TEMPLATES + 1)))
