@@ -16,6 +16,7 @@ from strataform.session import materialize
 FILTER_BITS = 1 << 26
 #: Bits of one row of a filter's table.
 _ROW = 1 << 15
+_FILES = 4
 
 
 def _hash(key: Column) -> Column:
@@ -26,7 +27,7 @@ def build(keys: DataFrame, key: str, name: str) -> DataFrame:
     """(k, bits): a bit for each key's hash, 32,768 bits a row."""
     h = keys.select(_hash(F.col(key)).alias("h"))
     bits = h.groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    return materialize(keys.sparkSession, bits, name)
+    return materialize(keys.sparkSession, bits.coalesce(_FILES), name)  # 8 MB in all at most
 
 
 def split(df: DataFrame, key: str, bloom: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -24,6 +24,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 
@@ -443,14 +444,14 @@ def _classes(docs: DataFrame, found: DataFrame, k: int, percent: int, block: int
         held = aside.join(lines, "hi").join(comp, "node", "left").select("band", "node", "line", F.coalesce("component", "node").alias("comp"))
         held = materialize(spark, held, "aside")
         open_ = held.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g")).filter("low < high")
-        open_ = materialize(spark, open_.select("band", F.ceil(F.col("g") / block).cast("int").alias("blocks")), "open")
+        open_ = open_.select("band", F.ceil(F.col("g") / block).cast("int").alias("blocks"))
         dealt = held.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "comp", "line")
         rest = materialize(spark, dealt.repartition("band", "bi", "bj").mapInArrow(_block_links(k, percent), "a long, b long"), "rest")
         if not rest.isEmpty():
             comp = components(spark, comp.toDF("a", "b").union(rest), "a", "b")
-    comp = materialize(spark, comp.union(comp.select(F.col("component").alias("node"), "component").distinct()), "line_components")
+    comp = comp.union(comp.select(F.col("component").alias("node"), "component").distinct())
     return lines.join(comp, "node").select("hi", "lo", F.col("component").alias("root"))
 
 
@@ -462,15 +463,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     packed = plain.mapInArrow(_band_rows(k, bands, rows, small), _PACKED).repartition("bucket")
     found = materialize(spark, packed.select("kind", "data").mapInArrow(_gather(small), _KINDS), "bands")
     occ = found.filter(F.col("kind") == _LINE).select(F.col("a").alias("hi"), F.col("b").alias("lo"), F.col("c").alias("doc_id"), F.col("d").alias("line_no"))
-    roots = materialize(spark, _classes(plain, found, k, percent, block), "roots")
+    roots = _classes(plain, found, k, percent, block)
     several = occ.groupBy("hi", "lo").agg(F.count("*").alias("n")).filter("n > 1").select("hi", "lo")
     classes = materialize(spark, several.join(roots, ["hi", "lo"], "full").select("hi", "lo", "root"), "line_classes")
     rows_of = materialize(spark, occ.join(classes, ["hi", "lo"]), "line_rows")
-    first = rows_of.groupBy("hi", "lo", "root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    first = materialize(spark, first, "first")
-    best = materialize(spark, first.filter("root is not null").groupBy("root").agg(F.min("first").alias("best")), "best")
-    keep = materialize(spark, first.join(best, "root", "left").select("hi", "lo", F.coalesce("best", "first").alias("keep")), "keep")
-    gone = rows_of.join(keep, ["hi", "lo"]).filter("doc_id <> keep.doc_id or line_no <> keep.line_no")
+    # the first line of each component, or of each class that links with nothing; written, so that joins with very common lines can be split
+    low = F.min(F.struct("doc_id", "line_no")).alias("keep")
+    keep = [(rows, by, materialize(spark, rows.groupBy(*by).agg(low), name)) for rows, by, name in ((rows_of.filter("root is not null"), ["root"], "best"), (rows_of.filter("root is null"), ["hi", "lo"], "first"))]
+    gone = functools.reduce(DataFrame.union, (rows.join(first, by).select("hi", "doc_id", "line_no", "keep") for rows, by, first in keep)).filter("doc_id <> keep.doc_id or line_no <> keep.line_no")
     return materialize(spark, gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "hi")).alias("lines")), "removals")
 
 

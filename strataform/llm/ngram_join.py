@@ -364,7 +364,7 @@ class _Join:
         rows = large.select(F.col("a").alias("shingle"), F.col("b").alias("cid"), "at").distinct().join(own, "cid").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("shingle", "at", "rep", "sketch", comp)
         rows = materialize(self.spark, rows, "large")
         open_ = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g")).filter("low < high")
-        open_ = materialize(self.spark, open_.select("shingle", F.ceil(F.col("g") / self.block).cast("int").alias("blocks")), "open")
+        open_ = open_.select("shingle", F.ceil(F.col("g") / self.block).cast("int").alias("blocks"))
         dealt = rows.join(open_, "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("shingle", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "at", "sketch")
