@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strataform.functions.numeric import bin_of, clamp, exact_sum, truncate
+from strataform.functions.quantiles import exact_percentiles
+from strataform.session import materialize
 
 Box = tuple[str, Sequence[float], Sequence[float]]
 AXES = ("x", "y", "z")
@@ -33,7 +35,8 @@ def in_boxes(boxes: Sequence[Box], margin: float = 0.0, axes: Sequence[str] = AX
 
 def robust_bounds(points: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """One row: low and high percentile of every axis."""
-    return points.agg(*(F.percentile(a, F.lit(p)).alias(f"{a}_{n}") for a in AXES for p, n in ((low, "lo"), (high, "hi"))))
+    found = exact_percentiles(points, {f"{a}_{n}": (F.col(a), p) for a in AXES for p, n in ((low, "lo"), (high, "hi"))})
+    return points.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found))
 
 
 def histogram(points: DataFrame, value: Column, low: float, width: float, bins: int, weight: Column | None = None) -> DataFrame:
@@ -138,7 +141,9 @@ def above_ground(points: DataFrame, ground: DataFrame, origin, cell, dims, low:
 
 def relief(ground: DataFrame, mass: DataFrame, dims: tuple[int, int], limit: float) -> DataFrame:
     """One row: 5th and 95th percentile of ground, their difference, shares of populated and standable cells."""
-    g = ground.agg(F.percentile("ground", F.lit(0.05)).alias("low"), F.percentile("ground", F.lit(0.95)).alias("high"), F.count("*").alias("n"))
+    ground = materialize(ground.sparkSession, ground, "ground")
+    e = exact_percentiles(ground, {"low": (F.col("ground"), 0.05), "high": (F.col("ground"), 0.95)})
+    g = ground.agg(F.lit(e["low"]).alias("low"), F.lit(e["high"]).alias("high"), F.count("*").alias("n"))
     free = mass.agg(F.count_if(F.col("mass") <= limit).alias("free"))
     return g.crossJoin(free).select(_settled(F.col("low")).alias("low"), _settled(F.col("high")).alias("high"), (F.floor((F.col("high") - F.col("low")) * 1e6 + 0.5) / 1e6).alias("relief"), (F.col("n") / float(dims[0] * dims[1])).alias("populated"), (F.col("free") / F.col("n")).alias("standable"))
 
@@ -203,8 +208,18 @@ def orbit(points: DataFrame) -> DataFrame:
     c = points.agg(exact_sum(F.col("opacity")).alias("w"), exact_sum(F.col("x") * F.col("opacity")).alias("sx"), exact_sum(F.col("z") * F.col("opacity")).alias("sz")).first()
     cx, cz = c.sx / c.w, c.sz / c.w
     d = F.sqrt((F.col("x") - cx) * (F.col("x") - cx) + (F.col("z") - cz) * (F.col("z") - cz))
-    r = lambda x: F.floor(x * 1e6 + 0.5) / 1e6
-    return points.agg(F.percentile(d, F.lit(0.9)).alias("radius")).select(r(F.lit(cx)).alias("cx"), r(F.lit(cz)).alias("cz"), r(F.col("radius")).alias("radius"))
+    radius = exact_percentiles(points, {"radius": (d, 0.9)})["radius"]
+    return points.sparkSession.createDataFrame([(cx, cz, radius)], "cx double, cz double, radius double").select(*((F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c) for c in ("cx", "cz", "radius")))
+
+
+def height_bins(points: DataFrame, low: float = 0.002, high: float = 0.998, bins: int = 120) -> DataFrame:
+    """(bin, weight): heights between two percentiles, in equal bins; the right edge belongs to the last one."""
+    e = exact_percentiles(points, {"lo": (F.col("y"), low), "hi": (F.col("y"), high)})
+    if e["lo"] is None:
+        return points.limit(0).select(F.lit(0).cast("long").alias("bin"), F.col("opacity").alias("weight"))
+    rows = points.filter(F.col("y").between(e["lo"], e["hi"]))
+    at = F.least(F.floor((F.col("y") - e["lo"]) / ((e["hi"] - e["lo"]) / bins)), F.lit(bins - 1)) if e["hi"] > e["lo"] else F.lit(0)
+    return rows.groupBy(at.cast("long").alias("bin")).agg(exact_sum(F.col("opacity")).alias("weight"))
 
 
 def up_axis(points: DataFrame) -> DataFrame:
@@ -242,7 +257,7 @@ def strictest(counts: DataFrame, least: int) -> DataFrame:
 
 def hash_sample(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows in order of a hash of gid: the same rows whatever the partitions."""
-    return points.orderBy(F.xxhash64("gid", F.lit(seed)), "gid").limit(n)
+    return points.orderBy(F.md5(F.concat(F.col("gid").cast("string"), F.lit(f"|{seed}")).cast("binary")), "gid").limit(n)
 
 
 def stride(points: DataFrame, every: int) -> DataFrame:
@@ -272,7 +287,7 @@ def fit_plane(points: DataFrame, rounds: int = 4, spread: float = 3 * 1.4826) ->
         if k == rounds:
             break
         off = F.abs(F.col("y") - (F.col("x") * plane.a + F.col("z") * plane.b + plane.c))
-        limit = points.agg(F.percentile(off, F.lit(0.5))).first()[0] * spread
+        limit = exact_percentiles(points, {"median": (off, 0.5)})["median"] * spread
         if not limit:
             break
         rows = points.filter(off <= limit)
@@ -291,10 +306,12 @@ def tilt_search(points: DataFrame, axis: str = "z", span: float = 15.0, steps: S
     for k, step in enumerate(steps):
         reach = span if k == 0 else steps[k - 1]
         angles = [best + step * i for i in range(-round(reach / step), round(reach / step) + 1)]
-        cand = F.array(*(F.struct(F.lit(a).alias("angle"), F.lit(math.cos(math.radians(a))).alias("c"), F.lit(math.sin(math.radians(a))).alias("s")) for a in angles))
-        turned = points.withColumn("t", F.explode(cand)).select("t.angle", (F.col("y") * F.col("t.c") - F.col(other) * F.col("t.s")).alias("h"), "opacity")
-        ends = turned.groupBy("angle").agg(F.percentile("h", F.lit(0.01)).alias("lo"), F.percentile("h", F.lit(0.99)).alias("hi"))
-        hist = turned.join(ends, "angle").filter("h between lo and hi").groupBy("angle", F.least(F.floor((F.col("h") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("long").alias("bin")).agg(exact_sum(F.col("opacity")).alias("weight"))
+        tilted = lambda a: F.col("y") * math.cos(math.radians(a)) - F.col(other) * math.sin(math.radians(a))  # noqa: E731, B023
+        ends = exact_percentiles(points, {f"{i} {c}": (tilted(a), p) for i, a in enumerate(angles) for c, p in (("lo", 0.01), ("hi", 0.99))})
+        # an angle's range is a literal of its candidate
+        cand = F.array(*(F.struct(F.lit(a).alias("angle"), tilted(a).alias("h"), F.lit(ends[f"{i} lo"]).alias("lo"), F.lit(ends[f"{i} hi"]).alias("hi")) for i, a in enumerate(angles)))
+        turned = points.select(F.explode(cand).alias("t"), "opacity").select("t.*", "opacity").filter("h between lo and hi")
+        hist = turned.groupBy("angle", F.least(F.floor((F.col("h") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("long").alias("bin")).agg(exact_sum(F.col("opacity")).alias("weight"))
         total = hist.groupBy("angle").agg(F.max("weight").alias("top"), F.sum("weight").alias("all"))
         row = total.orderBy(F.desc(F.col("top") / F.col("all")), F.abs("angle"), "angle").first()
         best = row.angle

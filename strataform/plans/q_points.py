@@ -16,26 +16,25 @@ _J = "CAST(least(greatest(floor(z / 0.5), 0), 20) AS BIGINT)"
 _ES = lambda c: f"sum(CAST({c} AS DECIMAL(18,6)))::DOUBLE"
 SQL["cells"] = f"SELECT {_I} AS i, {_J} AS j, {_ES('opacity')} AS density FROM gaussian GROUP BY ALL"
 B.USES["cells"] = ("gaussian",)
-#: Cells of a sparser set of points, so that grids have holes.
-SQL["sparse"] = "SELECT * FROM gaussian WHERE gid % 97 = 0"
-B.USES["sparse"] = ("gaussian",)
-SQL["scells"] = f"SELECT {_I} AS i, {_J} AS j, {_ES('opacity')} AS density FROM sparse GROUP BY ALL"
-B.USES["scells"] = ("sparse",)
-SQL["ground"] = f"SELECT i, j, floor(quantile_cont(y, 0.05) * 1e8 + 0.5) / 1e8 AS ground FROM (SELECT {_I} AS i, {_J} AS j, y FROM sparse) GROUP BY i, j HAVING count(*) >= 2"
-B.USES["ground"] = ("sparse",)
+#: A finer grid, which has holes.
+FINE, SIDE = 0.1, 101
+FDIMS = (SIDE, SIDE)
+_FI = f"CAST(least(greatest(floor(x / {FINE}::DOUBLE), 0), {SIDE - 1}) AS BIGINT)"
+_FJ = f"CAST(least(greatest(floor(z / {FINE}::DOUBLE), 0), {SIDE - 1}) AS BIGINT)"
+_IN = lambda i, j: f"{i} BETWEEN 0 AND {SIDE - 1} AND {j} BETWEEN 0 AND {SIDE - 1}"
+SQL["fcells"] = f"SELECT {_FI} AS i, {_FJ} AS j, {_ES('opacity')} AS density FROM gaussian GROUP BY ALL"
+B.USES["fcells"] = ("gaussian",)
+SQL["ground"] = f"SELECT i, j, floor(quantile_cont(y, 0.05) * 1e8 + 0.5) / 1e8 AS ground FROM (SELECT {_FI} AS i, {_FJ} AS j, y FROM gaussian) GROUP BY i, j HAVING count(*) >= 2"
+B.USES["ground"] = ("gaussian",)
 SQL["off"] = "SELECT a, b FROM range(-1, 2) t(a), range(-1, 2) u(b)"
 
 
-def sparse(s, d):
-    return B.gaussian(s, d).filter("gid % 97 = 0")
-
-
-def scells(s, d):
-    return P.footprint(sparse(s, d), ORIGIN, CELL, DIMS)
+def fcells(s, d):
+    return P.footprint(B.gaussian(s, d), ORIGIN, FINE, FDIMS)
 
 
 def ground(s, d):
-    return P.ground_envelope(sparse(s, d), ORIGIN, CELL, DIMS, 0.05, 2)
+    return P.ground_envelope(B.gaussian(s, d), ORIGIN, FINE, FDIMS, 0.05, 2)
 
 
 def r6(c, name):
@@ -59,9 +58,10 @@ def a04(s, d):
     return P.peak(P.histogram(B.gaussian(s, d), F.col("y"), 0.0, 0.025, 32, F.col("opacity")), 0.0, 0.025)
 
 
-@query("A05_floor_of_sample", with_(f"+ h AS ({_HIST(0.0, 0.05, 16, src='sparse')}) {_PEAK(0.0, 0.05)}", "sparse"))
+# the operator is the rule on a sample that a browser can hold: every 97th point
+@query("A05_floor_of_sample", with_(f"+ sample AS (SELECT * FROM gaussian WHERE gid % 97 = 0), h AS ({_HIST(0.0, 0.05, 16, src='sample')}) {_PEAK(0.0, 0.05)}", "gaussian"))
 def a05(s, d):
-    return P.peak(P.histogram(sparse(s, d), F.col("y"), 0.0, 0.05, 16, F.col("opacity")), 0.0, 0.05)
+    return P.peak(P.histogram(P.stride(B.gaussian(s, d), 97), F.col("y"), 0.0, 0.05, 16, F.col("opacity")), 0.0, 0.05)
 
 
 @query("A06_ceiling_height", with_(f"+ h AS ({_HIST(1.7, 0.025, 32)}), k AS ({_PEAK(1.7, 0.025)}) SELECT * FROM k WHERE share >= 0.02", "gaussian"))
@@ -86,12 +86,12 @@ def a10(s, d):
     return ground(s, d)
 
 
-SQL["gmass"] = f"SELECT g.i, g.j, {_ES('CASE WHEN y - ground BETWEEN 0.3 AND 1.8 THEN opacity ELSE 0.0 END')} AS mass FROM (SELECT {_I} AS i, {_J} AS j, y, opacity FROM sparse) p JOIN ground g ON p.i = g.i AND p.j = g.j GROUP BY ALL"
+SQL["gmass"] = f"SELECT g.i, g.j, {_ES('CASE WHEN y - ground BETWEEN 0.3 AND 1.8 THEN opacity ELSE 0.0 END')} AS mass FROM (SELECT {_FI} AS i, {_FJ} AS j, y, opacity FROM gaussian) p JOIN ground g ON p.i = g.i AND p.j = g.j GROUP BY ALL"
 B.USES["gmass"] = ("ground",)
 
 
 def gmass(s, d):
-    return P.above_ground(sparse(s, d), ground(s, d), ORIGIN, CELL, DIMS, 0.3, 1.8)
+    return P.above_ground(B.gaussian(s, d), ground(s, d), ORIGIN, FINE, FDIMS, 0.3, 1.8)
 
 
 @query("A11_mass_above_ground", with_("SELECT * FROM gmass", "gmass"))
@@ -99,15 +99,15 @@ def a11(s, d):
     return gmass(s, d)
 
 
-@query("J25_ground_join", with_(f"SELECT gid, floor((y - ground) * 1e8 + 0.5) / 1e8 AS height FROM (SELECT gid, {_I} AS i, {_J} AS j, y FROM sparse) p JOIN ground USING (i, j)", "ground"))
+@query("J25_ground_join", with_(f"SELECT gid, floor((y - ground) * 1e8 + 0.5) / 1e8 AS height FROM (SELECT gid, {_FI} AS i, {_FJ} AS j, y FROM gaussian) p JOIN ground USING (i, j)", "ground"))
 def j25(s, d):
-    keyed = sparse(s, d).withColumn("i", P.cell_of("x", 0.0, CELL, 21)).withColumn("j", P.cell_of("z", 0.0, CELL, 21))
+    keyed = B.gaussian(s, d).withColumn("i", P.cell_of("x", 0.0, FINE, SIDE)).withColumn("j", P.cell_of("z", 0.0, FINE, SIDE))
     return keyed.join(ground(s, d), ["i", "j"]).select("gid", (F.floor((F.col("y") - F.col("ground")) * 1e8 + 0.5) / 1e8).alias("height"))
 
 
-@query("A12_relief", with_("SELECT floor(low * 1e8 + 0.5) / 1e8 AS low, floor(high * 1e8 + 0.5) / 1e8 AS high, floor((high - low) * 1e6 + 0.5) / 1e6 AS relief, n / 441.0::DOUBLE AS populated, free / n::DOUBLE AS standable FROM (SELECT quantile_cont(ground, 0.05) AS low, quantile_cont(ground, 0.95) AS high, count(*) AS n FROM ground), (SELECT count(*) FILTER (WHERE mass <= 0.5) AS free FROM gmass)", "gmass"))
+@query("A12_relief", with_("SELECT floor(low * 1e8 + 0.5) / 1e8 AS low, floor(high * 1e8 + 0.5) / 1e8 AS high, floor((high - low) * 1e6 + 0.5) / 1e6 AS relief, n / 10201.0::DOUBLE AS populated, free / n::DOUBLE AS standable FROM (SELECT quantile_cont(ground, 0.05) AS low, quantile_cont(ground, 0.95) AS high, count(*) AS n FROM ground), (SELECT count(*) FILTER (WHERE mass <= 1.5) AS free FROM gmass)", "gmass"))
 def a12(s, d):
-    return P.relief(ground(s, d), gmass(s, d), DIMS, 0.5)
+    return P.relief(ground(s, d), gmass(s, d), FDIMS, 1.5)
 
 
 @query("A35_footprint_share", f"SELECT {P.footprint_share(B.BOXES, (10.0, 10.0))!r}::DOUBLE AS share")
@@ -118,14 +118,14 @@ def a35(s, d):
 @query("A36_scene_analysis", with_(f"SELECT * FROM (SELECT count(*) AS n, {_Q} FROM gaussian), (SELECT floor((quantile_cont(ground, 0.95) - quantile_cont(ground, 0.05)) * 1e6 + 0.5) / 1e6 AS relief, count(*) AS ground_cells FROM ground), (SELECT {P.footprint_share(B.BOXES, (10.0, 10.0))!r}::DOUBLE AS share)", "ground"))
 def a36(s, d):
     g = B.gaussian(s, d)
-    one = P.robust_bounds(g).crossJoin(g.agg(F.count("*").alias("n")))
-    rel = ground(s, d).agg(r6(F.percentile("ground", F.lit(0.95)) - F.percentile("ground", F.lit(0.05)), "relief"), F.count("*").alias("ground_cells"))
-    return one.crossJoin(rel).withColumn("share", F.lit(P.footprint_share(B.BOXES, (10.0, 10.0))))
+    rel = P.relief(ground(s, d), gmass(s, d), FDIMS, 1.5).select("relief", F.round(F.col("populated") * (SIDE * SIDE)).cast("long").alias("ground_cells"))
+    # one row each
+    return P.robust_bounds(g).crossJoin(g.agg(F.count("*").alias("n"))).crossJoin(rel).withColumn("share", F.lit(P.footprint_share(B.BOXES, (10.0, 10.0))))
 
 
-@query("A14_gap_clusters", with_("SELECT CAST(trunc(x / 0.8) AS BIGINT) AS vx, CAST(trunc((y - 1.0) / 0.8) AS BIGINT) AS vy, CAST(trunc(z / 0.8) AS BIGINT) AS vz, count(*) AS n FROM (SELECT x, y, z FROM gaussian WHERE part % 5 = 0) GROUP BY ALL ORDER BY n DESC, vx, vy, vz LIMIT 25", "gaussian"))
+@query("A14_gap_clusters", with_("SELECT CAST(trunc(x / 0.8) AS BIGINT) AS vx, CAST(trunc((y - 1.0) / 0.8) AS BIGINT) AS vy, CAST(trunc(z / 0.8) AS BIGINT) AS vz, count(*) AS n FROM gaussian GROUP BY ALL ORDER BY n DESC, vx, vy, vz LIMIT 25", "gaussian"))
 def a14(s, d):
-    return P.gap_clusters(B.gaussian(s, d).filter("part % 5 = 0").withColumn("y", F.col("y") - 1.0), 0.8, 25)
+    return P.gap_clusters(B.gaussian(s, d).withColumn("y", F.col("y") - 1.0), 0.8, 25)
 
 
 @query("F05_in_volume", with_(f"SELECT gid FROM gaussian WHERE {B.boxes_sql(0.1)}", "gaussian"))
@@ -138,59 +138,64 @@ def f06(s, d):
     return B.gaussian(s, d).filter(P.in_boxes(B.BOXES)).agg(F.count("*").alias("n"))
 
 
-@query("W09_median_smoothing", with_("SELECT g.i, g.j, floor(quantile_cont(n.ground, 0.5) * 1e8 + 0.5) / 1e8 AS ground FROM ground g JOIN ground n ON abs(g.i - n.i) <= 1 AND abs(g.j - n.j) <= 1 GROUP BY ALL", "ground"))
+@query("W09_median_smoothing", with_("SELECT g.i, g.j, floor(quantile_cont(n.ground, 0.5) * 1e8 + 0.5) / 1e8 AS ground FROM ground g, off JOIN ground n ON n.i = g.i + a AND n.j = g.j + b GROUP BY ALL", "ground", "off"))
 def w09(s, d):
     return P.smooth(ground(s, d))
 
 
-@query("W09_hole_fill", with_("SELECT i, j, ground FROM ground UNION ALL SELECT n.i + a, n.j + b, floor(quantile_cont(ground, 0.5) * 1e8 + 0.5) / 1e8 FROM ground n, off WHERE NOT (a = 0 AND b = 0) AND n.i + a BETWEEN 0 AND 20 AND n.j + b BETWEEN 0 AND 20 AND NOT EXISTS (SELECT 1 FROM ground g WHERE g.i = n.i + a AND g.j = n.j + b) GROUP BY 1, 2 HAVING count(*) >= 3", "ground", "off"))
+@query("W09_hole_fill", with_(f"SELECT i, j, ground FROM ground UNION ALL SELECT n.i + a, n.j + b, floor(quantile_cont(ground, 0.5) * 1e8 + 0.5) / 1e8 FROM ground n, off WHERE NOT (a = 0 AND b = 0) AND {_IN('n.i + a', 'n.j + b')} AND NOT EXISTS (SELECT 1 FROM ground g WHERE g.i = n.i + a AND g.j = n.j + b) GROUP BY 1, 2 HAVING count(*) >= 3", "ground", "off"))
 def w09b(s, d):
-    return P.fill_holes(ground(s, d), DIMS)
+    return P.fill_holes(ground(s, d), FDIMS)
 
 
 def busy(s, d):
-    return scells(s, d).filter("density >= 1.5").select("i", "j")
+    return fcells(s, d).filter("density >= 4.5").select("i", "j")
 
 
-SQL["busy"] = "SELECT i, j FROM scells WHERE density >= 1.5"
-B.USES["busy"] = ("scells",)
+SQL["busy"] = "SELECT i, j FROM fcells WHERE density >= 4.5"
+B.USES["busy"] = ("fcells",)
 
 
-@query("W10_dilation", with_("SELECT DISTINCT b.i + a AS i, b.j + c AS j FROM busy b, range(-2, 3) t(a), range(-2, 3) u(c) WHERE b.i + a BETWEEN 0 AND 20 AND b.j + c BETWEEN 0 AND 20", "busy"))
+@query("W10_dilation", with_(f"SELECT DISTINCT b.i + a AS i, b.j + c AS j FROM busy b, range(-2, 3) t(a), range(-2, 3) u(c) WHERE {_IN('b.i + a', 'b.j + c')}", "busy"))
 def w10(s, d):
-    return P.dilate(busy(s, d), DIMS, 2)
+    return P.dilate(busy(s, d), FDIMS, 2)
 
 
-SQL["grid"] = "SELECT i, j FROM range(0, 21) a(i), range(0, 21) b(j)"
+SQL["grid"] = f"SELECT i, j FROM range(0, {SIDE}) a(i), range(0, {SIDE}) b(j)"
 
 
 def grid(s):
-    return s.range(21).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(20).cast("long"))))
+    return s.range(SIDE).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))))
 
 
-@query("W11_enclosure_rays", with_("""SELECT g.i, g.j, CAST(count(DISTINCT a * 3 + b) AS BIGINT) AS hits FROM grid g JOIN off o ON NOT (a = 0 AND b = 0) JOIN range(1, 22) r(k) ON true JOIN busy x ON x.i = g.i + k * a AND x.j = g.j + k * b
+@query("W11_enclosure_rays", with_("""SELECT g.i, g.j, CAST(count(DISTINCT a * 3 + b) AS BIGINT) AS hits FROM grid g JOIN off o ON NOT (a = 0 AND b = 0) JOIN range(1, 102) r(k) ON true JOIN busy x ON x.i = g.i + k * a AND x.j = g.j + k * b
   WHERE NOT EXISTS (SELECT 1 FROM busy y WHERE y.i = g.i AND y.j = g.j) GROUP BY 1, 2 HAVING count(DISTINCT a * 3 + b) >= 6""", "grid", "off", "busy"))
 def w11(s, d):
-    return P.enclosed(DIMS, busy(s, d), 6)
+    return P.enclosed(FDIMS, busy(s, d), 6)
 
 
-@query("W12_clearance", with_("SELECT i, j FROM grid g WHERE NOT EXISTS (SELECT 1 FROM busy b WHERE abs(b.i - g.i) <= 1 AND abs(b.j - g.j) <= 1)", "grid", "busy"))
+@query("W12_clearance", with_("SELECT i, j FROM grid ANTI JOIN (SELECT DISTINCT i + a AS i, j + b AS j FROM busy, off) USING (i, j)", "grid", "busy", "off"))
 def w12(s, d):
     return P.clearance(grid(s), busy(s, d), 1)
 
 
-@query("W17_line_of_sight", with_("""+ p AS (SELECT a.i, a.j, b.i AS i2, b.j AS j2 FROM grid a, grid b WHERE a.i % 5 = 0 AND a.j % 5 = 0 AND b.i % 5 = 0 AND b.j % 5 = 0 AND (a.i, a.j) < (b.i, b.j)),
-  q AS (SELECT *, greatest(abs(i2 - i), abs(j2 - j)) AS n FROM p)
-  SELECT i, j, i2, j2 FROM q WHERE NOT EXISTS (SELECT 1 FROM range(1, 21) r(k), busy b WHERE k < q.n AND b.i = floor(q.i + (q.i2 - q.i) * k / q.n::DOUBLE + 0.5) AND b.j = floor(q.j + (q.j2 - q.j) * k / q.n::DOUBLE + 0.5))""", "grid", "busy"))
+# from every camera's cell to the cell of every part's first point
+@query("W17_line_of_sight", with_(f"""+ t AS (SELECT arg_min(x, gid) AS x, arg_min(z, gid) AS z FROM gaussian GROUP BY part),
+  p AS (SELECT DISTINCT a.i, a.j, b.i AS i2, b.j AS j2 FROM (SELECT {_FI.replace('x /', 'px /')} AS i, {_FJ.replace('z /', 'pz /')} AS j FROM frame) a, (SELECT {_FI} AS i, {_FJ} AS j FROM t) b),
+  q AS (SELECT *, greatest(abs(i2 - i), abs(j2 - j)) AS n FROM p),
+  w AS (SELECT q.*, floor(i + (i2 - i) * k / n::DOUBLE + 0.5) AS ci, floor(j + (j2 - j) * k / n::DOUBLE + 0.5) AS cj FROM q JOIN range(1, {SIDE}) r(k) ON k < n)
+  SELECT i, j, i2, j2 FROM p ANTI JOIN (SELECT DISTINCT w.i, w.j, i2, j2 FROM w JOIN busy b ON b.i = ci AND b.j = cj) USING (i, j, i2, j2)""", "frame", "busy"))
 def w17(s, d):
-    a = grid(s).filter("i % 5 = 0 and j % 5 = 0")
-    b = a.select(F.col("i").alias("i2"), F.col("j").alias("j2"))
-    return P.clear_pairs(a.join(b, (F.col("i") < F.col("i2")) | ((F.col("i") == F.col("i2")) & (F.col("j") < F.col("j2")))), busy(s, d))
+    cell = lambda x, z: [P.cell_of(x, 0.0, FINE, SIDE), P.cell_of(z, 0.0, FINE, SIDE)]
+    cameras = B.frame(s, d).select(*(c.alias(n) for c, n in zip(cell("px", "pz"), ("i", "j"), strict=True))).distinct()
+    firsts = B.gaussian(s, d).groupBy("part").agg(F.min_by("x", "gid").alias("x"), F.min_by("z", "gid").alias("z"))
+    targets = firsts.select(*(c.alias(n) for c, n in zip(cell("x", "z"), ("i2", "j2"), strict=True))).distinct()
+    return P.clear_pairs(targets.crossJoin(F.broadcast(cameras)), busy(s, d))  # a cell a camera: at most the grid's
 
 
-@query("W18_sightline_length", with_("SELECT g.i, g.j, CAST(coalesce(min(k), 12) AS BIGINT) AS steps FROM grid g LEFT JOIN (SELECT b.i - k AS i, b.j - k AS j, k FROM busy b, range(1, 13) r(k)) x ON x.i = g.i AND x.j = g.j WHERE g.i % 3 = 0 GROUP BY 1, 2", "grid", "busy"))
+@query("W18_sightline_length", with_("SELECT g.i, g.j, CAST(coalesce(min(k), 12) AS BIGINT) AS steps FROM grid g LEFT JOIN (SELECT b.i - k AS i, b.j - k AS j, k FROM busy b, range(1, 13) r(k)) x ON x.i = g.i AND x.j = g.j GROUP BY 1, 2", "grid", "busy"))
 def w18(s, d):
-    return P.sight_lines(grid(s).filter("i % 3 = 0"), busy(s, d), 1, 1, 12)
+    return P.sight_lines(grid(s), busy(s, d), 1, 1, 12)
 
 
 @query("A37_floor_contrast", with_(f"+ h AS ({_HIST(0.0, 0.025, 32)}), f AS (SELECT b.bin, coalesce(weight, 0) AS weight FROM range(0, 32) b(bin) LEFT JOIN h ON h.bin = b.bin) SELECT bin, floor(drop * 1e4 + 0.5) / 1e4 AS drop FROM (SELECT bin, weight - lead(weight, 1, 0) OVER (ORDER BY bin) AS drop FROM f) ORDER BY drop DESC, bin LIMIT 1", "gaussian"))
@@ -234,9 +239,7 @@ def w15(s, d):
 def a39(s, d):
     g = B.gaussian(s, d).withColumn("i", P.cell_of("x", 0.0, CELL, 21)).withColumn("j", P.cell_of("z", 0.0, CELL, 21))
     p = g.join(P.footprint(B.gaussian(s, d), ORIGIN, CELL, DIMS).filter("density >= 20").select("i", "j"), ["i", "j"])
-    ends = p.agg(F.percentile("y", F.lit(0.002)).alias("lo"), F.percentile("y", F.lit(0.998)).alias("hi"))
-    binned = p.crossJoin(ends).filter("y between lo and hi").select(F.least(F.floor((F.col("y") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 120)), F.lit(119)).cast("long").alias("bin"), "opacity")
-    return binned.groupBy("bin").agg(P.exact_sum(F.col("opacity")).alias("weight"))
+    return P.height_bins(p)
 
 
 @query("K09_density_pooling", with_("SELECT i // 3 AS i, j // 3 AS j, sum(CAST(density AS DECIMAL(18,6)))::DOUBLE AS density FROM cells GROUP BY 1, 2", "cells"))
@@ -259,19 +262,21 @@ def l07(s, d):
     return P.stride(B.gaussian(s, d), 21).select("gid")
 
 
-@query("L06_hash_sample")
+@query("L06_hash_sample", with_("SELECT gid FROM gaussian ORDER BY md5(gid || '|0'), gid LIMIT 2000", "gaussian"))
 def l06(s, d):
     return P.hash_sample(B.gaussian(s, d), 2000).select("gid")
 
 
-@query("L10_strictest_setting", with_("+ c AS (SELECT clearance, percent, (SELECT count(*) FROM grid g WHERE NOT EXISTS (SELECT 1 FROM scells b WHERE b.density >= percent / 10.0::DOUBLE AND abs(b.i - g.i) <= clearance AND abs(b.j - g.j) <= clearance)) AS free FROM (VALUES (0), (1), (2)) a(clearance), (VALUES (10), (20), (30)) b(percent)) SELECT * FROM c WHERE free >= 60 ORDER BY clearance DESC, percent LIMIT 1", "grid", "scells"))
+@query("L10_strictest_setting", with_(f"""+ r(clearance) AS (VALUES (0), (1), (2)), p(percent) AS (VALUES (35), (45), (55)), o AS (SELECT a, b FROM range(-2, 3) t(a), range(-2, 3) u(b)),
+  x AS (SELECT DISTINCT clearance, percent, i + a AS i, j + b AS j FROM fcells, r, p, o WHERE density >= percent / 10.0::DOUBLE AND abs(a) <= clearance AND abs(b) <= clearance AND {_IN('i + a', 'j + b')})
+  SELECT clearance, percent, {SIDE * SIDE} - count(x.i) AS free FROM r CROSS JOIN p LEFT JOIN x USING (clearance, percent) GROUP BY 1, 2 HAVING {SIDE * SIDE} - count(x.i) >= 2500 ORDER BY clearance DESC, percent LIMIT 1""", "fcells"))
 def l10(s, d):
-    cells = scells(s, d)
-    each = [P.clearance(grid(s), cells.filter(F.col("density") >= p / 10.0), c).agg(F.count("*").alias("free")).select(F.lit(c).alias("clearance"), F.lit(p).alias("percent"), "free") for c in (0, 1, 2) for p in (10, 20, 30)]
+    cells = fcells(s, d)
+    each = [P.clearance(grid(s), cells.filter(F.col("density") >= p / 10.0), c).agg(F.count("*").alias("free")).select(F.lit(c).alias("clearance"), F.lit(p).alias("percent"), "free") for c in (0, 1, 2) for p in (35, 45, 55)]
     out = each[0]
     for e in each[1:]:
         out = out.unionByName(e)
-    return P.strictest(out, 60)
+    return P.strictest(out, 2500)
 
 
 @query("I14_tilt_search")
@@ -281,5 +286,5 @@ def i14(s, d):
 
 @query("I15_plane_fit")
 def i15(s, d):
-    p = P.fit_plane(sparse(s, d))
+    p = P.fit_plane(B.gaussian(s, d))
     return s.createDataFrame([(p.a, p.b, p.c)], "a double, b double, c double")
