@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from strataform.functions.numeric import exact_sum
 from strataform.operators.detections import lookup
+from strataform.session import materialize
 
 
 def class_weights(rows: DataFrame, kept_frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,32 +116,41 @@ def dominant_masks(inside: DataFrame) -> DataFrame:
     return n.groupBy("part", "frame_idx").agg(F.max_by("mask", F.struct("n", -F.col("mask"))).alias("mask"), F.max("n").alias("n"))
 
 
-def merge_candidates(bounds: DataFrame, min_ios: float, max_distance: float) -> DataFrame:
-    """Pairs of parts of a class whose boxes overlap enough or whose centres are near: ios descending, then distance.
+def nearest_fill(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Points of a component without a seed get the label of its nearest seeded point; the lowest gid of equals.
 
-    One row a part; a class has few.
+    Points look for seeds in their grid cell and those around it; a seed no farther than the cell's
+    size is the nearest of all. Points that find none look again in cells of twice the size, until
+    the cells are as large as the scene. Points of components without a seed are left out.
     """
-    cols = ["class_id", "part", *(f"{a}{k}" for a in "xyz" for k in (0, 1))]
-    a = bounds.select(*(F.col(c).alias(c if c == "class_id" else f"a_{c}") for c in cols))
-    b = bounds.select(*(F.col(c).alias(c if c == "class_id" else f"b_{c}") for c in cols))
-    j = a.join(b, "class_id").filter("a_part < b_part")
-    vol = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0")) * (F.col(f"{p}_z1") - F.col(f"{p}_z0"))
-    inter = F.lit(1.0)
-    dist = F.lit(0.0)
-    for ax in "xyz":
-        inter = inter * F.greatest(F.least(f"a_{ax}1", f"b_{ax}1") - F.greatest(f"a_{ax}0", f"b_{ax}0"), F.lit(0.0))
-        dist = dist + F.pow((F.col(f"a_{ax}0") + F.col(f"a_{ax}1") - F.col(f"b_{ax}0") - F.col(f"b_{ax}1")) / 2, 2)
-    small = F.least(vol("a"), vol("b"))
-    j = j.withColumn("ios", F.when(small > 0, inter / small).otherwise(0.0)).withColumn("dist", F.sqrt(dist))
-    return j.filter((F.col("ios") >= min_ios) | (F.col("dist") <= max_distance)).select("class_id", "a_part", "b_part", "ios", "dist")
-
-
-def nearest_fill(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points of a component without a seed get the label of its nearest seeded point; the lowest gid of equals."""
-    seeds = points.filter("seed is not null").select(*keys, F.col("gid").alias("s_gid"), F.col("seed").alias("s_seed"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
-    d = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2) + F.pow(F.col("z") - F.col("sz"), 2)
-    filled = points.filter("seed is null").join(seeds, keys).groupBy(*keys, "gid").agg(F.min_by("s_seed", F.struct(d, "s_gid")).alias("seed"))
-    return points.filter("seed is not null").select(*keys, "gid", "seed").unionByName(filled.select(*keys, "gid", "seed"))
+    spark = points.sparkSession
+    rows = materialize(spark, points.select(*keys, "gid", "seed", "x", "y", "z"), "fill_points")
+    seeds = rows.filter("seed is not null")
+    e = rows.agg(*(F.max(c) - F.min(c) for c in "xyz"), F.count("seed")).first()
+    extent = max((v or 0.0 for v in e[:3]), default=0.0)
+    size = max(extent / max(1.0, e[3] ** (1 / 3)), 1e-9)
+    todo = rows.filter("seed is null").join(seeds.select(*keys).distinct(), keys, "left_semi").drop("seed")
+    done = [seeds.select(*keys, "gid", "seed")]
+    step = F.array(*map(F.lit, (-1, 0, 1)))
+    while True:
+        cell = lambda c: F.floor(F.col(c) / size)  # noqa: E731, B023
+        near = todo.select("*", *(cell(c).alias(f"c{c}") for c in "xyz"))
+        for c in "xyz":
+            near = near.withColumn("d", F.explode(step)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
+        s = seeds.select(*keys, F.col("gid").alias("s_gid"), F.col("seed").alias("s_seed"), *(F.col(c).alias(f"s{c}") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
+        d = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2) + F.pow(F.col("z") - F.col("sz"), 2)
+        best = near.join(s, [*keys, "cx", "cy", "cz"]).groupBy(*keys, "gid").agg(F.min_by("s_seed", F.struct(d, "s_gid")).alias("seed"), F.min(d).alias("d"))
+        if size < extent:
+            best = best.filter(F.col("d") <= size * size)
+        best = materialize(spark, best.select(*keys, "gid", "seed"), "filled")
+        done.append(best)
+        if size >= extent:
+            break
+        todo = materialize(spark, todo.join(best, [*keys, "gid"], "left_anti"), "unfilled")
+        if todo.isEmpty():
+            break
+        size *= 2
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def histogram_by_kind(pairs: DataFrame, value: str, bins: int) -> DataFrame:

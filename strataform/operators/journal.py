@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: The gates of a run, in order.
+GATES = ("source", "volume", "render", "vocabulary", "verify")
+
 
 def standing(events: DataFrame, keys: Sequence[str] = ("scene",)) -> DataFrame:
     """(keys, gate, approved_at): approvals that no later approval of an earlier gate or demotion of the same or an earlier gate has taken back.

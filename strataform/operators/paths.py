@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.operators import clustering, points
+from strataform.operators.projection import MAX_FRAMES
 
 
 def yaw_scores(positions: DataFrame, occupied: DataFrame, steps: int, reach: int) -> DataFrame:
@@ -70,9 +71,13 @@ def orbit(points_: DataFrame, n: int, height: float, factor: float = 1.2) -> Dat
 
 
 def aimed(targets: DataFrame, free: DataFrame, least: float, prefer: float) -> DataFrame:
-    """Per target (target, x, z) the free position (pos, px, pz) beyond `least` that is nearest the preferred distance, looking at it."""
+    """Per target (target, x, z) the free position (pos, px, pz) beyond `least` that is nearest the preferred distance, looking at it.
+
+    Positions are cells where a camera may stand: up to `MAX_FRAMES` are broadcast. The choice is one map-side aggregate.
+    """
+    few = free.limit(MAX_FRAMES + 1).count() <= MAX_FRAMES
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("z") - F.col("pz"), 2))
-    near = targets.crossJoin(free).withColumn("d", d).filter(F.col("d") > least)
+    near = targets.crossJoin(F.broadcast(free) if few else free).withColumn("d", d).filter(F.col("d") > least)
     best = near.groupBy("target").agg(F.min_by(F.struct("pos", "px", "pz", "d", "x", "z"), F.struct(F.abs(F.col("d") - prefer), "pos")).alias("b")).select("target", "b.*")
     return best.select("target", "pos", "px", "pz", ((F.col("x") - F.col("px")) / F.col("d")).alias("c"), ((F.col("z") - F.col("pz")) / F.col("d")).alias("s"))
 

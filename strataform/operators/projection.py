@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from strataform.functions.numeric import truncate
 
-#: Frames that one projection takes: their rows are broadcast only below this count.
+AXES = ("x", "y", "z")
+#: Frames whose rows are broadcast to the cells of a projection; more are joined without.
 MAX_FRAMES = 10_000
 
 
@@ -34,14 +35,37 @@ def fov_intrinsics(width: int, height: int, fov_deg: float) -> dict[str, float]:
     return {"width": width, "height": height, "fx": f, "fy": f, "cx": width / 2, "cy": height / 2}
 
 
-def project(points: DataFrame, frames: DataFrame, near: float) -> DataFrame:
-    """(frame_idx, gid, u, v, depth) of points in front of the near plane and inside the image; u and v truncated towards zero."""
-    few = frames.limit(MAX_FRAMES + 1)
-    if few.count() > MAX_FRAMES:
-        raise ValueError(f"more than {MAX_FRAMES} frames in one projection")
-    dx, dy, dz = F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("z") - F.col("pz")
-    joined = points.crossJoin(F.broadcast(few))
-    seen = joined.select("frame_idx", "gid", "fx", "fy", "cx", "cy", "width", "height", (dx * F.col("c") + dz * F.col("s")).alias("depth"), (dz * F.col("c") - dx * F.col("s")).alias("right"), (-dy).alias("down")).filter(F.col("depth") > near)
+def _in_camera(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Depth, right and down of a place in a frame's camera."""
+    dx, dy, dz = x - F.col("px"), y - F.col("py"), z - F.col("pz")
+    return dx * F.col("c") + dz * F.col("s"), dz * F.col("c") - dx * F.col("s"), -dy
+
+
+def cells_in_view(cells: DataFrame, frames: DataFrame, near: float, size: float) -> DataFrame:
+    """Cells (k0, k1, k2) with the frames that may see a part of them: the ball about a cell meets the frustum.
+
+    The sides of the frustum are planes through the camera; a pixel counts from -1, as truncation moves it to 0.
+    """
+    depth, right, down = _in_camera(*((F.col(f"k{k}") + 0.5) * size for k in range(3)))
+    radius = size * (3**0.5) / 2 * (1 + 1e-9)
+    keep = depth + radius > near
+    for f, side, c, n in (("fx", right, "cx", "width"), ("fy", down, "cy", "height")):
+        for sign, reach in ((1, F.col(c) + 1), (-1, F.col(n) - F.col(c))):
+            keep = keep & (sign * F.col(f) * side + reach * depth + radius * F.sqrt(F.col(f) * F.col(f) + reach * reach) > 0)
+    few = frames.limit(MAX_FRAMES + 1).count() <= MAX_FRAMES
+    return cells.crossJoin(F.broadcast(frames) if few else frames).filter(keep)
+
+
+def project(points: DataFrame, frames: DataFrame, near: float, size: float = 1.0) -> DataFrame:
+    """(frame_idx, gid, u, v, depth) of points in front of the near plane and inside the image; u and v truncated towards zero.
+
+    Frames meet occupied cells of `size`, and points only the frames that may see their cell.
+    """
+    keys = [f"k{k}" for k in range(3)]
+    keyed = points.select("gid", *AXES, *(F.floor(F.col(a) / size).alias(k) for a, k in zip(AXES, keys, strict=True)))
+    views = cells_in_view(keyed.select(*keys).distinct(), frames.select("frame_idx", "px", "py", "pz", "c", "s", "fx", "fy", "cx", "cy", "width", "height"), near, size)
+    depth, right, down = _in_camera(*(F.col(a) for a in AXES))
+    seen = keyed.join(views, keys).select("frame_idx", "gid", "fx", "fy", "cx", "cy", "width", "height", depth.alias("depth"), right.alias("right"), down.alias("down")).filter(F.col("depth") > near)
     out = seen.withColumn("u", truncate(F.col("fx") * F.col("right") / F.col("depth") + F.col("cx"))).withColumn("v", truncate(F.col("fy") * F.col("down") / F.col("depth") + F.col("cy")))
     inside = (F.col("u") >= 0) & (F.col("u") < F.col("width")) & (F.col("v") >= 0) & (F.col("v") < F.col("height"))
     return out.filter(inside).select("frame_idx", "gid", "u", "v", "depth")
@@ -147,9 +171,14 @@ def frame_quality(pixels: DataFrame, near_depth: float) -> DataFrame:
 
 def similar_poses(poses: DataFrame, others: DataFrame, min_distance: float, min_cos: float) -> DataFrame:
     """Poses (id, px, pz, c, s) with a pose of `others` nearby that looks the same way."""
-    o = others.select(F.col("id").alias("other"), *(F.col(k).alias(f"o_{k}") for k in ("px", "pz", "c", "s")))
+    cell = lambda k: F.floor(F.col(k) / min_distance)
+    step = F.array(*map(F.lit, (-1, 0, 1)))
+    # poses nearer than the distance lie in the same or in adjacent cells of that size
+    near = poses.withColumn("i", cell("px")).withColumn("j", cell("pz")).withColumn("a", F.explode(step)).withColumn("b", F.explode(step))
+    near = near.withColumn("i", F.col("i") + F.col("a")).withColumn("j", F.col("j") + F.col("b")).drop("a", "b")
+    o = others.select(F.col("id").alias("other"), *(F.col(k).alias(f"o_{k}") for k in ("px", "pz", "c", "s")), cell("px").alias("i"), cell("pz").alias("j"))
     close = (F.pow(F.col("px") - F.col("o_px"), 2) + F.pow(F.col("pz") - F.col("o_pz"), 2) < min_distance * min_distance) & (F.col("c") * F.col("o_c") + F.col("s") * F.col("o_s") > min_cos)
-    return poses.join(o, (F.col("id") != F.col("other")) & close).groupBy("id").agg(F.min("other").alias("like"))
+    return near.join(o, ["i", "j"]).filter((F.col("id") != F.col("other")) & close).groupBy("id").agg(F.min("other").alias("like"))
 
 
 def pose_changes(saved: DataFrame, rendered: DataFrame, cols: Sequence[str], tolerance: float = 1e-6) -> DataFrame:

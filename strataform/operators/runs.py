@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataform.functions.config import Refusal, leaves, longest_prefix, merged
 from strataform.operators import journal
-from strataform.plans.bindings import GATES
+from strataform.operators.journal import GATES
 from strataform.sources.records import read_json, write_atomic
 
 

@@ -14,8 +14,8 @@ from strataform.session import table
 SQL: dict[str, str] = {}
 
 
-def with_(body: str, *names: str) -> str:
-    """`body` under the named model tables and those that they use."""
+def with_(body: str, *names: str, recursive: bool = False) -> str:
+    """`body` under the named model tables and those that they use; `recursive`: its own tables may refer to themselves."""
     needed: list[str] = []
 
     def add(name: str) -> None:
@@ -26,7 +26,7 @@ def with_(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in needed) + ("," if body.lstrip().startswith("+") else "") + "\n" + body.lstrip().lstrip("+")
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS ({SQL[n]})" for n in needed) + ("," if body.lstrip().startswith("+") else "") + "\n" + body.lstrip().lstrip("+")
 
 
 USES: dict[str, tuple[str, ...]] = {"support": (), "label": ("gaussian",), "object": ("gaussian",)}
@@ -197,9 +197,6 @@ SQL["answers"] = f"""
          CASE WHEN c_custkey % 9 = 0 THEN 'margin' WHEN c_custkey % 13 = 0 THEN 'ambiguous' END AS reason
   FROM customer"""
 
-GATES = ("source", "volume", "render", "vocabulary", "verify")
-
-
 def gate_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A journal: seq, scene, gate (1 to 5), action (approve or demote)."""
     e = table(spark, sf_dir, "events")

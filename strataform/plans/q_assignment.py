@@ -5,35 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataform.operators import assignment as A
+from strataform.operators import paths
 from strataform.operators import projection as R
+from strataform.operators import splitting as S
 from strataform.plans import bindings as B
 from strataform.plans.bindings import with_
 from strataform.plans.query import query
 
 SQL = B.SQL
-SQL["posed"] = "SELECT * EXCLUDE (fx), coalesce(fx, 40.0)::DOUBLE AS fx, 40.0::DOUBLE AS fy, 32.0::DOUBLE AS cx, 24.0::DOUBLE AS cy, 64 AS width, 48 AS height FROM frame WHERE frame_idx % 3 = 0"
+SQL["posed"] = "SELECT * EXCLUDE (fx), coalesce(fx, 40.0)::DOUBLE AS fx, 40.0::DOUBLE AS fy, 32.0::DOUBLE AS cx, 24.0::DOUBLE AS cy, 64 AS width, 48 AS height FROM frame"
 B.USES["posed"] = ("frame",)
-SQL["few"] = "SELECT * FROM gaussian WHERE gid % 5 = 0"
-B.USES["few"] = ("gaussian",)
 SQL["projected"] = """SELECT frame_idx, gid, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, depth FROM (SELECT *, trunc(fx * r / depth + cx) AS u, trunc(fy * down / depth + cy) AS v FROM (
-  SELECT frame_idx, gid, fx, fy, cx, cy, width, height, (x - px) * c + (z - pz) * s AS depth, (z - pz) * c - (x - px) * s AS r, -(y - py) AS down FROM few, posed) WHERE depth > 0.1)
+  SELECT frame_idx, gid, fx, fy, cx, cy, width, height, (x - px) * c + (z - pz) * s AS depth, (z - pz) * c - (x - px) * s AS r, -(y - py) AS down FROM gaussian, posed) WHERE depth > 0.1)
   WHERE u >= 0 AND u < width AND v >= 0 AND v < height"""
-B.USES["projected"] = ("posed", "few")
+B.USES["projected"] = ("posed", "gaussian")
 SQL["seen"] = """SELECT p.* FROM projected p JOIN (SELECT frame_idx, u, v, min(depth) AS d FROM projected GROUP BY ALL) m ON p.frame_idx = m.frame_idx AND p.u = m.u AND p.v = m.v
   WHERE depth <= d * 1.05::DOUBLE + 0.2::DOUBLE"""
 B.USES["seen"] = ("projected",)
 
 
 def posed(s, d):
-    return R.with_intrinsics(B.frame(s, d).filter("frame_idx % 3 = 0"), B.CAMERA)
-
-
-def some(s, d):
-    return B.gaussian(s, d).filter("gid % 5 = 0")
+    return R.with_intrinsics(B.frame(s, d), B.CAMERA)
 
 
 def projected(s, d):
-    return R.project(some(s, d), posed(s, d), 0.1)
+    return R.project(B.gaussian(s, d), posed(s, d), 0.1)
 
 
 def seen(s, d):
@@ -56,15 +52,15 @@ def f08(s, d):
     return seen(s, d).select("frame_idx", "gid")
 
 
-@query("F09_min_population", with_("SELECT frame_idx, count(*) AS n FROM seen WHERE frame_idx IN (SELECT frame_idx FROM projected GROUP BY 1 HAVING count(*) >= 1500) GROUP BY 1", "seen"))
+@query("F09_min_population", with_("SELECT frame_idx, count(*) AS n FROM seen WHERE frame_idx IN (SELECT frame_idx FROM projected GROUP BY 1 HAVING count(*) >= 9000) GROUP BY 1", "seen"))
 def f09(s, d):
     p = projected(s, d)
-    return R.visible(p, R.depth_map(p), 0.05, 0.2, 1500).groupBy("frame_idx").agg(F.count("*").alias("n"))
+    return R.visible(p, R.depth_map(p), 0.05, 0.2, 9000).groupBy("frame_idx").agg(F.count("*").alias("n"))
 
 
-@query("A13_coverage", with_("SELECT " + ", ".join(f"count(*) FILTER (WHERE n >= {k}) / count(*)::DOUBLE AS k{k}" for k in (1, 2, 3)) + " FROM (SELECT g.gid, count(s.gid) AS n FROM few g LEFT JOIN seen s ON g.gid = s.gid GROUP BY 1)", "seen"))
+@query("A13_coverage", with_("SELECT " + ", ".join(f"count(*) FILTER (WHERE n >= {k}) / count(*)::DOUBLE AS k{k}" for k in (1, 2, 3)) + " FROM (SELECT g.gid, count(s.gid) AS n FROM gaussian g LEFT JOIN seen s ON g.gid = s.gid GROUP BY 1)", "seen"))
 def a13(s, d):
-    return R.coverage(some(s, d), seen(s, d))
+    return R.coverage(B.gaussian(s, d), seen(s, d))
 
 
 @query("P02_intrinsics", with_("SELECT frame_idx, coalesce(fx, 40.0)::DOUBLE AS fx, 24.0::DOUBLE AS cy FROM frame", "frame"))
@@ -121,16 +117,16 @@ def p07(s, d):
     return B.frame(s, d).select("frame_idx", r6(f[0], "fx"), r6(f[1], "fy"), r6(f[2], "fz"), r6(right[0], "rx"), r6(right[2], "rz"))
 
 
-@query("P08_ground_to_world", with_("SELECT gid, x, 0.25 - 1.0::DOUBLE * y AS wy, z FROM few", "few"))
+@query("P08_ground_to_world", with_("SELECT gid, x, 0.25 - 1.0::DOUBLE * y AS wy, z FROM gaussian", "gaussian"))
 def p08(s, d):
-    return some(s, d).select("gid", "x", (F.lit(0.25) - 1.0 * F.col("y")).alias("wy"), "z")
+    return B.gaussian(s, d).select("gid", "x", (F.lit(0.25) - 1.0 * F.col("y")).alias("wy"), "z")
 
 
-@query("P09_alignment", with_("SELECT gid, floor((0.8 * x - 0.6 * z) * 1e6 + 0.5) / 1e6 AS x, y, floor((0.6 * x + 0.8 * z) * 1e6 + 0.5) / 1e6 AS z FROM few", "few"))
+@query("P09_alignment", with_("SELECT gid, floor((0.8 * x - 0.6 * z) * 1e6 + 0.5) / 1e6 AS x, y, floor((0.6 * x + 0.8 * z) * 1e6 + 0.5) / 1e6 AS z FROM gaussian", "gaussian"))
 def p09(s, d):
     m = [[0.8, 0.0, -0.6], [0.0, 1.0, 0.0], [0.6, 0.0, 0.8]]
     v = R.rotate(m, [F.col(a) for a in "xyz"])
-    return some(s, d).select("gid", r6(v[0], "x"), v[1].alias("y"), r6(v[2], "z"))
+    return B.gaussian(s, d).select("gid", r6(v[0], "x"), v[1].alias("y"), r6(v[2], "z"))
 
 
 @query("P10_pose_to_file_frame", with_("SELECT frame_idx, floor((0.8 * px + 0.6 * pz) * 1e6 + 0.5) / 1e6 AS px, py, floor((0.8 * pz - 0.6 * px) * 1e6 + 0.5) / 1e6 AS pz FROM frame", "frame"))
@@ -259,10 +255,10 @@ def j23(s, d):
     return b.filter(R.iou([F.col(k) * 10 for k in ("x1", "y1", "x2", "y2")], [F.lit(160.0), F.lit(80.0), F.lit(320.0), F.lit(320.0)]) < 0.2).select("instance_id", "frame_idx")
 
 
-@query("P21_focus_blend", with_("SELECT gid, floor(t * t * (3 - 2 * t) * 1e6 + 0.5) / 1e6 AS blend FROM (SELECT gid, least(greatest((d + 0.2) / 0.7, 0.0), 1.0) AS t FROM (SELECT gid, least(sqrt(pow(greatest(abs(x - 3.0) - 1.5, 0.0), 2) + pow(greatest(abs(z - 4.0) - 2.0, 0.0), 2)) + least(greatest(abs(x - 3.0) - 1.5, abs(z - 4.0) - 2.0), 0.0), sqrt(pow(greatest(abs(x - 7.0) - 1.0, 0.0), 2) + pow(greatest(abs(z - 7.0) - 1.0, 0.0), 2)) + least(greatest(abs(x - 7.0) - 1.0, abs(z - 7.0) - 1.0), 0.0)) AS d FROM few))", "few"))
+@query("P21_focus_blend", with_("SELECT gid, floor(t * t * (3 - 2 * t) * 1e6 + 0.5) / 1e6 AS blend FROM (SELECT gid, least(greatest((d + 0.2) / 0.7, 0.0), 1.0) AS t FROM (SELECT gid, least(sqrt(pow(greatest(abs(x - 3.0) - 1.5, 0.0), 2) + pow(greatest(abs(z - 4.0) - 2.0, 0.0), 2)) + least(greatest(abs(x - 3.0) - 1.5, abs(z - 4.0) - 2.0), 0.0), sqrt(pow(greatest(abs(x - 7.0) - 1.0, 0.0), 2) + pow(greatest(abs(z - 7.0) - 1.0, 0.0), 2)) + least(greatest(abs(x - 7.0) - 1.0, abs(z - 7.0) - 1.0), 0.0)) AS d FROM gaussian))", "gaussian"))
 def p21(s, d):
     dist = R.box_distance(F.col("x"), F.col("z"), [(3.0, 4.0, 1.5, 2.0, 0.0), (7.0, 7.0, 1.0, 1.0, 0.0)])
-    return some(s, d).select("gid", r6(R.smooth_step(dist, -0.2, 0.5), "blend"))
+    return B.gaussian(s, d).select("gid", r6(R.smooth_step(dist, -0.2, 0.5), "blend"))
 
 
 _PICK = """SELECT gid, floor(t * 1e6 + 0.5) / 1e6 AS t, floor(acc * 1e6 + 0.5) / 1e6 AS acc FROM (SELECT *, 1 - exp(sum(ln(1 - least(opacity * exp(-d2 / (2 * 0.35 * 0.35)), 0.999))) OVER (ORDER BY t, gid)) AS acc FROM (
@@ -423,30 +419,33 @@ def j10(s, d):
     return A.distinctness(a.join(b, "frame_idx").filter("a < b").select("a", "b", "frame_idx", (F.col("ma") != F.col("mb")).alias("vote")), 8)
 
 
-SQL["bounds"] = "SELECT part % 4 AS class_id, part % 60 AS part, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM gaussian WHERE part < 300 GROUP BY 1, 2"
+SQL["bounds"] = "SELECT part % 4 AS class_id, part % 500 AS part, " + ", ".join(f"min({k}) AS {k}0, max({k}) AS {k}1, sum(CAST({k} AS DECIMAL(18,6)))::DOUBLE / count(*) AS {k}m" for k in "xyz") + " FROM gaussian GROUP BY 1, 2"
 B.USES["bounds"] = ("gaussian",)
 _VOL = lambda p: f"({p}.x1 - {p}.x0) * ({p}.y1 - {p}.y0) * ({p}.z1 - {p}.z0)"
+_DIAG = lambda p: f"sqrt(pow({p}.x1 - {p}.x0, 2) + pow({p}.y1 - {p}.y0, 2) + pow({p}.z1 - {p}.z0, 2))"
+
+
+def stacked(s, d):
+    points = B.gaussian(s, d).select((F.col("part") % 4).alias("class_id"), (F.col("part") % 500).alias("part"), "gid", "x", "y", "z")
+    limits = S.Evidence(None, None, None, min_ios=0.8, near=0.1)
+    return limits.stacked(limits.near_pairs(points), points).filter("stacked")
 
 
-@query("J11_merge_candidates", with_("SELECT class_id, a_part, b_part, floor(ios * 1e6 + 0.5) / 1e6 AS ios, floor(dist * 1e6 + 0.5) / 1e6 AS dist FROM (SELECT a.class_id, a.part AS a_part, b.part AS b_part, CASE WHEN least(" + _VOL("a") + ", " + _VOL("b") + ") > 0 THEN " + " * ".join(f"greatest(least(a.{k}1, b.{k}1) - greatest(a.{k}0, b.{k}0), 0.0)" for k in "xyz") + f" / least({_VOL('a')}, {_VOL('b')}) ELSE 0 END AS ios, sqrt(" + " + ".join(f"pow((a.{k}0 + a.{k}1 - b.{k}0 - b.{k}1) / 2, 2)" for k in "xyz") + ") AS dist FROM bounds a JOIN bounds b ON a.class_id = b.class_id AND a.part < b.part) WHERE ios >= 0.8 OR dist <= 0.4", "bounds"))
+@query("J11_merge_candidates", with_("SELECT class_id, a, b, floor(ios * 1e6 + 0.5) / 1e6 AS ios, floor(dist * 1e6 + 0.5) / 1e6 AS dist FROM (SELECT a.class_id, a.part AS a, b.part AS b, " + " * ".join(f"greatest(least(a.{k}1, b.{k}1) - greatest(a.{k}0, b.{k}0), 0.0)" for k in "xyz") + f" / greatest(least({_VOL('a')}, {_VOL('b')}), 1e-9) AS ios, sqrt(" + " + ".join(f"pow(a.{k}m - b.{k}m, 2)" for k in "xyz") + f") AS dist, least({_DIAG('a')}, {_DIAG('b')}) AS d0, greatest({_DIAG('a')}, {_DIAG('b')}) AS d1 FROM bounds a JOIN bounds b ON a.class_id = b.class_id AND a.part < b.part) WHERE (ios >= 0.8 OR dist <= 0.1 * d0) AND dist <= 0.1 * d1", "bounds"))
 def j11(s, d):
-    g = B.gaussian(s, d).filter("part < 300")
-    b = g.groupBy((F.col("part") % 4).alias("class_id"), (F.col("part") % 60).alias("part")).agg(*(f(a).alias(f"{a}{k}") for a in "xyz" for k, f in ((0, F.min), (1, F.max))))
-    return A.merge_candidates(b, 0.8, 0.4).select("class_id", "a_part", "b_part", r6(F.col("ios"), "ios"), r6(F.col("dist"), "dist"))
+    return stacked(s, d).select("class_id", "a", "b", r6(F.col("ios"), "ios"), r6(F.col("dist"), "dist"))
 
 
-@query("J18_nearest_fill", with_("+ p AS (SELECT part % 200 AS comp, gid, CASE WHEN gid % 9 = 0 THEN part % 3 END AS seed, x, y, z FROM few) SELECT comp, gid, seed FROM p WHERE seed IS NOT NULL UNION ALL SELECT comp, gid, seed FROM (SELECT a.comp, a.gid, b.seed, row_number() OVER (PARTITION BY a.comp, a.gid ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2), b.gid) AS r FROM p a JOIN p b ON a.comp = b.comp AND a.seed IS NULL AND b.seed IS NOT NULL) WHERE r = 1", "few"))
+@query("J18_nearest_fill", with_("+ p AS (SELECT part % 200 AS comp, gid, CASE WHEN gid % 9 = 0 THEN part % 3 END AS seed, x, y, z FROM gaussian) SELECT comp, gid, seed FROM p WHERE seed IS NOT NULL UNION ALL SELECT comp, gid, seed FROM (SELECT a.comp, a.gid, b.seed, row_number() OVER (PARTITION BY a.comp, a.gid ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2), b.gid) AS r FROM p a JOIN p b ON a.comp = b.comp AND a.seed IS NULL AND b.seed IS NOT NULL) WHERE r = 1", "gaussian"))
 def j18(s, d):
-    p = some(s, d).select((F.col("part") % 200).alias("comp"), "gid", F.when(F.col("gid") % 9 == 0, F.col("part") % 3).alias("seed"), "x", "y", "z")
+    p = B.gaussian(s, d).select((F.col("part") % 200).alias("comp"), "gid", F.when(F.col("gid") % 9 == 0, F.col("part") % 3).alias("seed"), "x", "y", "z")
     return A.nearest_fill(p, ["comp"])
 
 
-@query("J19_aimed_cameras", with_("+ t AS (SELECT part AS target, min(x) AS x, min(z) AS z FROM gaussian WHERE part % 50 = 0 GROUP BY 1), f AS (SELECT frame_idx AS pos, px, pz FROM frame) SELECT target, pos FROM (SELECT target, pos, row_number() OVER (PARTITION BY target ORDER BY abs(d - 2.5), pos) AS r FROM (SELECT target, pos, sqrt((x - px) * (x - px) + (z - pz) * (z - pz)) AS d FROM t, f) WHERE d > 1.0) WHERE r = 1", "gaussian", "frame"))
+@query("J19_aimed_cameras", with_("+ t AS (SELECT part AS target, min(x) AS x, min(z) AS z FROM gaussian GROUP BY 1), f AS (SELECT frame_idx AS pos, px, pz FROM frame) SELECT target, pos FROM (SELECT target, pos, row_number() OVER (PARTITION BY target ORDER BY abs(d - 2.5), pos) AS r FROM (SELECT target, pos, sqrt((x - px) * (x - px) + (z - pz) * (z - pz)) AS d FROM t, f) WHERE d > 1.0) WHERE r = 1", "gaussian", "frame"))
 def j19(s, d):
-    t = B.gaussian(s, d).filter("part % 50 = 0").groupBy(F.col("part").alias("target")).agg(F.min("x").alias("x"), F.min("z").alias("z"))
-    f = B.frame(s, d).select(F.col("frame_idx").alias("pos"), "px", "pz")
-    dist = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("z") - F.col("pz")) * (F.col("z") - F.col("pz")))
-    return t.crossJoin(f).withColumn("d", dist).filter("d > 1.0").groupBy("target").agg(F.min_by("pos", F.struct(F.abs(F.col("d") - 2.5), "pos")).alias("pos"))
+    t = B.gaussian(s, d).groupBy(F.col("part").alias("target")).agg(F.min("x").alias("x"), F.min("z").alias("z"))
+    return paths.aimed(t, B.frame(s, d).select(F.col("frame_idx").alias("pos"), "px", "pz"), 1.0, 2.5).select("target", "pos")
 
 
 @query("F22_class_budget", "SELECT CAST(floor((24e9 - 2e9) / (12.0 * count(*))) AS BIGINT) AS classes FROM lineitem")

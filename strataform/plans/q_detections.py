@@ -20,16 +20,13 @@ SQL["medians"] = f"SELECT concept, {CHANNEL_SQL} AS channel, quantile_cont(area_
 B.USES["medians"] = ("passed",)
 SQL["judged"] = f"SELECT p.*, {CHANNEL_SQL} AS channel, median_area, coalesce(area_frac > median_area * {FACTOR}::DOUBLE, false) AS killed FROM passed p LEFT JOIN medians m ON p.concept = m.concept AND {CHANNEL_SQL} = m.channel"
 B.USES["judged"] = ("medians",)
-#: Small classes of work for pair queries: detections of scores over 0.6.
-SQL["strong"] = "SELECT * FROM detection WHERE score >= 0.6"
-B.USES["strong"] = ("detection",)
 SQL["pairs"] = """SELECT *, inter / a_area::DOUBLE AS ios_a, inter / b_area::DOUBLE AS ios_b FROM (
   SELECT a.frame_idx, a.det_idx AS a_det_idx, b.det_idx AS b_det_idx, a.concept AS a_concept, b.concept AS b_concept, a.score AS a_score, b.score AS b_score,
     a.source AS a_source, b.source AS b_source, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter,
     (a.x2 - a.x1) * (a.y2 - a.y1) AS a_area, (b.x2 - b.x1) * (b.y2 - b.y1) AS b_area
-  FROM strong a JOIN strong b ON a.frame_idx = b.frame_idx AND a.det_idx < b.det_idx
+  FROM detection a JOIN detection b ON a.frame_idx = b.frame_idx AND a.det_idx < b.det_idx
    AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"""
-B.USES["pairs"] = ("strong",)
+B.USES["pairs"] = ("detection",)
 RANKS = {"view": 1, "error": 2, "click": 3}
 _RANK = lambda c: f"(CASE {c} WHEN 'view' THEN 1 WHEN 'error' THEN 2 WHEN 'click' THEN 3 END)"
 SQL["classified"] = f"""SELECT *, CASE WHEN rule = 'C' THEN CASE WHEN a_source LIKE 'exemplar:%' THEN a_det_idx ELSE b_det_idx END
@@ -42,16 +39,12 @@ SQL["classified"] = f"""SELECT *, CASE WHEN rule = 'C' THEN CASE WHEN a_source L
 B.USES["classified"] = ("pairs",)
 
 
-def strong(s, d):
-    return B.detection(s, d).filter("score >= 0.6")
-
-
 def passed(s, d):
     return D.without_negatives(D.above_threshold(B.detection(s, d), D.threshold(**LIMITS)), NEGATIVES)
 
 
 def classified(s, d):
-    return D.classified_pairs(D.overlap_pairs(strong(s, d), cell=160), 0.7, 0.9, 0.9, RANKS)
+    return D.classified_pairs(D.overlap_pairs(B.detection(s, d), cell=160), 0.7, 0.9, 0.9, RANKS)
 
 
 @query("F01_presence_threshold", with_(f"SELECT concept, source, count(*) AS n, min(score) AS low FROM detection WHERE score >= {LIMIT_SQL} GROUP BY ALL", "detection"))
@@ -120,19 +113,19 @@ def a25(s, d):
 
 @query("J01_overlap_pairs", with_("SELECT frame_idx, a_det_idx, b_det_idx, inter, floor(ios_a * 1e6 + 0.5) / 1e6 AS ios_a, floor(ios_b * 1e6 + 0.5) / 1e6 AS ios_b FROM pairs", "pairs"))
 def j01(s, d):
-    p = D.overlap_pairs(strong(s, d), cell=160)
+    p = D.overlap_pairs(B.detection(s, d), cell=160)
     r = lambda c: (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
     return p.select("frame_idx", "a_det_idx", "b_det_idx", "inter", r("ios_a"), r("ios_b"))
 
 
 @query("F17_disjoint_boxes", with_("SELECT frame_idx, count(*) AS touching FROM pairs GROUP BY 1", "pairs"))
 def f17(s, d):
-    return D.overlap_pairs(strong(s, d)).groupBy("frame_idx").agg(F.count("*").alias("touching"))
+    return D.overlap_pairs(B.detection(s, d)).groupBy("frame_idx").agg(F.count("*").alias("touching"))
 
 
 @query("J02_mask_intersection", with_("SELECT a_det_idx AS a, b_det_idx AS b, inter FROM pairs WHERE least(ios_a, ios_b) >= 0.5", "pairs"))
 def j02(s, d):
-    rows = strong(s, d)
+    rows = B.detection(s, d)
     pairs = D.overlap_pairs(rows).filter(F.least("ios_a", "ios_b") >= 0.5).select(F.col("a_det_idx").alias("a"), F.col("b_det_idx").alias("b"))
     return D.runs_intersection(D.box_runs(rows), pairs)
 
@@ -170,9 +163,9 @@ def j04b(s, d):
     return D.drop_parts(pairs, D.part_quorum(pairs, 3), RANKS)
 
 
-@query("J05_cannot_link", with_("SELECT a.frame_idx, a.concept, a.det_idx AS lo, b.det_idx AS hi FROM strong a JOIN strong b ON a.frame_idx = b.frame_idx AND a.concept = b.concept AND a.det_idx < b.det_idx WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) <= 0.1::DOUBLE * least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))", "strong"))
+@query("J05_cannot_link", with_("SELECT a.frame_idx, a.concept, a.det_idx AS lo, b.det_idx AS hi FROM detection a JOIN detection b ON a.frame_idx = b.frame_idx AND a.concept = b.concept AND a.det_idx < b.det_idx WHERE greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) <= 0.1::DOUBLE * least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1))", "detection"))
 def j05(s, d):
-    return D.cannot_link(strong(s, d), 0.1)
+    return D.cannot_link(B.detection(s, d), 0.1)
 
 
 @query("J21_exemplar_fold")
@@ -199,23 +192,23 @@ def a17(s, d):
     return D.expected_count(B.detection(s, d), 3)
 
 
-@query("P17_mask_boxes", with_("SELECT det_idx AS mask, x1, y1, x2 - 1 AS x2, y2 - 1 AS y2, (x2 - x1) * (y2 - y1) AS area FROM strong", "strong"))
+@query("P17_mask_boxes", with_("SELECT det_idx AS mask, x1, y1, x2 - 1 AS x2, y2 - 1 AS y2, (x2 - x1) * (y2 - y1) AS area FROM detection", "detection"))
 def p17(s, d):
-    return D.mask_boxes(D.box_runs(strong(s, d)))
+    return D.mask_boxes(D.box_runs(B.detection(s, d)))
 
 
-@query("P18_exclusive_boxes", with_("SELECT det_idx, x1, y1, x2, y2 FROM strong", "strong"))
+@query("P18_exclusive_boxes", with_("SELECT det_idx, x1, y1, x2, y2 FROM detection", "detection"))
 def p18(s, d):
-    boxes = D.mask_boxes(D.box_runs(strong(s, d)))
+    boxes = D.mask_boxes(D.box_runs(B.detection(s, d)))
     return boxes.select(F.col("mask").alias("det_idx"), "x1", "y1", (F.col("x2") + 1).alias("x2"), (F.col("y2") + 1).alias("y2"))
 
 
-@query("J27_carved_masks", with_("""SELECT w AS mask, count(*) AS left_area FROM (SELECT whole_det AS w, y, x FROM (SELECT DISTINCT CASE WHEN part_det = a_det_idx THEN b_det_idx ELSE a_det_idx END AS whole_det FROM classified WHERE rule = 'B') JOIN strong s ON s.det_idx = whole_det, range(s.y1, s.y2) r(y), range(s.x1, s.x2) q(x)
-  EXCEPT SELECT DISTINCT CASE WHEN part_det = a_det_idx THEN b_det_idx ELSE a_det_idx END, y, x FROM classified c JOIN strong s ON s.det_idx = c.part_det, range(s.y1, s.y2) r(y), range(s.x1, s.x2) q(x) WHERE rule = 'B') GROUP BY 1""", "classified"))
+@query("J27_carved_masks", with_("""SELECT w AS mask, count(*) AS left_area FROM (SELECT whole_det AS w, y, x FROM (SELECT DISTINCT CASE WHEN part_det = a_det_idx THEN b_det_idx ELSE a_det_idx END AS whole_det FROM classified WHERE rule = 'B') JOIN detection s ON s.det_idx = whole_det, range(s.y1, s.y2) r(y), range(s.x1, s.x2) q(x)
+  EXCEPT SELECT DISTINCT CASE WHEN part_det = a_det_idx THEN b_det_idx ELSE a_det_idx END, y, x FROM classified c JOIN detection s ON s.det_idx = c.part_det, range(s.y1, s.y2) r(y), range(s.x1, s.x2) q(x) WHERE rule = 'B') GROUP BY 1""", "classified"))
 def j27(s, d):
     b = classified(s, d).filter("rule = 'B'")
     carve = b.select(F.when(F.col("part_det") == F.col("a_det_idx"), F.col("b_det_idx")).otherwise(F.col("a_det_idx")).alias("whole"), F.col("part_det").alias("part")).distinct()
-    return D.carved(D.box_runs(strong(s, d)), carve)
+    return D.carved(D.box_runs(B.detection(s, d)), carve)
 
 
 @query("U01_union_sources", with_("SELECT CASE WHEN source = 'text' THEN 'text' ELSE 'exemplar' END AS pass, count(*) AS n FROM detection GROUP BY 1", "detection"))

@@ -226,9 +226,9 @@ def f28(s, d):
     return J.may_start(B.gate_event(s, d), 3)
 
 
-@query("G01_gate_inputs", with_("SELECT scene, gate, sha256(scene::VARCHAR || '|' || coalesce(CASE WHEN gate > 2 THEN action END, 'absent')) AS inputs FROM gate_event WHERE seq < 50", "gate_event"))
+@query("G01_gate_inputs", with_("SELECT scene, gate, sha256(scene::VARCHAR || '|' || coalesce(CASE WHEN gate > 2 THEN action END, 'absent')) AS inputs FROM gate_event", "gate_event"))
 def g01(s, d):
-    e = B.gate_event(s, d).filter("seq < 50").withColumn("extra", F.when(F.col("gate") > 2, F.col("action")))
+    e = B.gate_event(s, d).withColumn("extra", F.when(F.col("gate") > 2, F.col("action")))
     return J.gate_inputs(e, ["scene", "extra"])
 
 
@@ -335,7 +335,14 @@ def jobs(s, d):
     return table(s, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 12).alias("scene"), kind.alias("type"), F.lit("").alias("payload"))
 
 
-@query("M05_job_states")
+_JOB = "CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'finish' WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'cancel' END"
+_NEXT = "CASE WHEN state <> 'running' AND type = 'start' THEN 'running' WHEN state = 'running' AND type = 'finish' THEN 'done' WHEN state = 'running' AND type = 'fail' THEN 'failed' WHEN state = 'running' AND type = 'cancel' THEN 'cancelled' ELSE state END"
+
+
+@query("M05_job_states", f"""WITH RECURSIVE m AS MATERIALIZED (SELECT user_id % 12 AS scene, {_JOB} AS type, row_number() OVER (PARTITION BY user_id % 12 ORDER BY event_id) AS k FROM events WHERE event_type IN ('view', 'click', 'error', 'signup')),
+  r AS (SELECT DISTINCT scene, 0::BIGINT AS k, 'idle' AS state, 0::BIGINT AS runs FROM m
+    UNION ALL SELECT r.scene, r.k + 1, {_NEXT}, runs + CASE WHEN state <> 'running' AND type = 'start' THEN 1 ELSE 0 END FROM r JOIN m ON m.scene = r.scene AND m.k = r.k + 1)
+  SELECT scene, arg_max(state, k) AS state, max(runs) AS runs FROM r GROUP BY 1""")
 def m05(s, d):
     return E.job_states(jobs(s, d))
 
@@ -356,11 +363,9 @@ def f25(s, d):
     return B.frame(s, d).groupBy("provenance").agg(((F.count("*") >= 4) & (F.avg("coverage").isNull() | (F.avg("coverage") >= 0.3))).alias("healthy"))
 
 
-@query("F26_label_visibility", with_("SELECT gid FROM few WHERE opacity >= (CASE WHEN gid % 2 = 0 THEN 0.6 ELSE 0.4 END) AND sqrt(x * x + z * z) < 8", "few"))
+@query("F26_label_visibility", with_("SELECT gid FROM gaussian WHERE opacity >= (CASE WHEN gid % 2 = 0 THEN 0.6 ELSE 0.4 END) AND sqrt(x * x + z * z) < 8", "gaussian"))
 def f26(s, d):
-    from strataform.plans.q_assignment import some
-
-    return some(s, d).filter((F.col("opacity") >= F.when(F.col("gid") % 2 == 0, 0.6).otherwise(0.4)) & (F.sqrt(F.col("x") * F.col("x") + F.col("z") * F.col("z")) < 8)).select("gid")
+    return B.gaussian(s, d).filter((F.col("opacity") >= F.when(F.col("gid") % 2 == 0, 0.6).otherwise(0.4)) & (F.sqrt(F.col("x") * F.col("x") + F.col("z") * F.col("z")) < 8)).select("gid")
 
 
 @query("F30_plausibility", with_("SELECT frame_idx, CASE WHEN fx IS NULL THEN NULL WHEN coverage >= 0.3 THEN true ELSE false END AS fits FROM frame", "frame"))
