@@ -30,3 +30,8 @@ def bin_of(c: Column, low: float, width: float, bins: int) -> Column:
 def exact_sum(c: Column, digits: int = 6) -> Column:
     """A sum that does not depend on the order of the rows."""
     return F.sum(c.cast(f"decimal(18,{digits})")).cast("double")
+
+
+def at_rest(rows, places=(("score", 4), ("area_frac", 5))):
+    """Detections as they are stored: rounded half to even, before any threshold is applied to them."""
+    return rows.withColumns({c: F.bround(F.col(c), n) for c, n in places})

@@ -85,3 +85,23 @@ def lookup_refusals(tracks: DataFrame, instances: DataFrame) -> DataFrame:
     """Tracks without an instance and instances without a track: both must be empty before an export."""
     t, i = tracks.select(F.col("track_id").alias("id")).distinct(), instances.select(F.col("instance_id").alias("id")).distinct()
     return t.join(i, "id", "left_anti").select("id", F.lit("track without points").alias("what")).unionByName(i.join(t, "id", "left_anti").select("id", F.lit("points without a track").alias("what")))
+
+
+def track_documents(tracks: DataFrame, exported: DataFrame) -> DataFrame:
+    """(class_id, json, instances): a class's tracks with their detections as JSON, and its map from instance to track.
+
+    tracks: (class_id, det, track); exported: (class_id, track, instance_id).
+    """
+    each = tracks.groupBy("class_id", "track").agg(F.sort_array(F.collect_list("det")).alias("dets"))
+    named = each.join(exported, ["class_id", "track"], "left")
+    listed = F.sort_array(F.collect_list(F.struct("track", "dets", "instance_id"))).alias("tracks")
+    pairs = F.sort_array(F.collect_list(F.when(F.col("instance_id").isNotNull(), F.struct("instance_id", "track")))).alias("pairs")
+    docs = named.groupBy("class_id").agg(listed, pairs)
+    return docs.select("class_id", F.to_json(F.struct("class_id", "tracks")).alias("json"), F.map_from_entries("pairs").alias("instances"))
+
+
+def histogram_document(counts: DataFrame, bins: int) -> DataFrame:
+    """One row: counts (kind, bin, n) as JSON, an array of `bins` numbers for each kind."""
+    each = counts.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)))
+    return each.groupBy().agg(F.sort_array(F.collect_list(F.struct("kind", filled.alias("counts")))).alias("h")).select(F.to_json(F.struct(F.lit(bins).alias("bins"), F.map_from_entries("h").alias("histograms"))).alias("json"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataform.plans import bindings as B
 from strataform.plans.bindings import with_
+from strataform.plans.q_detections import LIMIT_SQL, LIMITS
 from strataform.plans.query import query
 from strataform.session import shared_dir
 from strataform.sources import rasters, records, scenes
@@ -18,12 +19,12 @@ def _folder(s, name: str) -> str:
 
 
 def _points(s, d):
-    g = B.gaussian(s, d).filter("part < 100")
+    g = B.gaussian(s, d)
     f = lambda c: c.cast("float")
     return g.select("gid", *(f(F.col(a)).alias(a) for a in "xyz"), *(f(F.lit(0.1)).alias(f"s{a}") for a in "xyz"), f(F.lit(1.0)).alias("qw"), *(f(F.lit(0.0)).alias(f"q{a}") for a in "xyz"), f(F.col("opacity")).alias("opacity"), F.array(F.array(f(F.col("x")), f(F.col("y")), f(F.col("z")))).alias("sh"), (F.col("part") % 5).alias("object"))
 
 
-B.SQL["cut"] = "SELECT part % 5 AS object, count(*) AS n, floor(sum(CAST(x AS DECIMAL(18,6)))::DOUBLE * 10 + 0.5) / 10 AS sx FROM gaussian WHERE part < 100 GROUP BY 1"
+B.SQL["cut"] = "SELECT part % 5 AS object, count(*) AS n, floor(sum(CAST(x AS DECIMAL(18,6)))::DOUBLE * 10 + 0.5) / 10 AS sx FROM gaussian GROUP BY 1"
 B.USES["cut"] = ("gaussian",)
 
 
@@ -46,22 +47,39 @@ def s06(s, d):
     return s.createDataFrame([(k, scenes.count(s, f"{out}/{k}.ply")) for k in range(5)], "object long, n long")
 
 
-@query("S10_detection_csv", with_("SELECT * FROM detection WHERE score > 0.8", "detection"))
+@query("S10_detection_csv", with_("SELECT * FROM detection", "detection"))
 def s10(s, d):
     out = _folder(s, "detections")
-    records.write_detections(B.detection(s, d).filter("score > 0.8").withColumn("negative_control", F.lit(False)), out)
+    records.write_detections(B.detection(s, d).withColumn("negative_control", F.lit(False)), out)
     return records.read_detections(s, out).drop("negative_control")
 
 
-@query("S11_mask_pictures", with_("SELECT det_idx AS mask, sum(x2 - x1) * (y2 - y1) / 1 AS area FROM (SELECT * FROM detection WHERE det_idx % 50 = 0) GROUP BY det_idx, y2, y1", "detection"))
-def s11(s, d):
+def quarter(rows):
+    """Detections at a quarter of the size, where their corners are whole numbers still."""
+    return rows.withColumns({c: (F.col(c) / 4).cast("long") for c in ("x1", "y1", "x2", "y2")})
+
+
+def _mask_areas(s, rows, name):
     from strataform.operators.detections import box_runs
 
-    out = _folder(s, "masks")
-    runs = box_runs(B.detection(s, d).filter("det_idx % 50 = 0"))
-    scenes.write_files(rasters.mask_files(runs, 768, 768, F.concat(F.lit("mask_"), F.col("mask").cast("string"), F.lit(".png"))), F.col("name"), out).collect()
+    out = _folder(s, name)
+    files = rasters.mask_files(box_runs(quarter(rows)), 192, 192, F.concat(F.lit("mask_"), F.col("mask").cast("string"), F.lit(".png")))
+    scenes.write_files(files, F.col("name"), out).write.format("noop").mode("overwrite").save()
     back = rasters.read_masks(s, f"{out}/*.png")
-    return back.groupBy(rasters.frame_of(F.col("path")).alias("mask")).agg(F.sum(F.col("x1") - F.col("x0")).cast("double").alias("area"))
+    return back.groupBy(rasters.frame_of(F.col("path")).alias("mask")).agg((F.sum(F.col("x1") - F.col("x0")) * 16).alias("area"))
+
+
+@query("S11_mask_pictures", with_("SELECT det_idx AS mask, (x2 - x1) * (y2 - y1) AS area FROM detection", "detection"))
+def s11(s, d):
+    return _mask_areas(s, B.detection(s, d), "masks")
+
+
+@query("K03_masks_above_floor", with_(f"SELECT det_idx AS mask, (x2 - x1) * (y2 - y1) AS area FROM detection WHERE score >= least(0.35, {LIMIT_SQL})", "detection"))
+def k03(s, d):
+    from strataform.operators import detections as D
+
+    rows = B.detection(s, d)
+    return _mask_areas(s, D.above_threshold(rows, D.mask_floor(0.35, D.threshold(**LIMITS))), "kept_masks")
 
 
 @query("K08_id_stream", with_("SELECT count(*) AS n, count(*) FILTER (WHERE instance_id IS NOT NULL) AS with_id FROM (SELECT CASE WHEN part % 3 = 0 THEN part % 40 END AS instance_id FROM gaussian)", "gaussian"))
