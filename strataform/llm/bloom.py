@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataform.llm.names import unused
 from strataform.session import materialize
 
 FILTER_BITS = 1 << 26
@@ -35,8 +36,9 @@ def split(df: DataFrame, key: str, bloom: DataFrame) -> tuple[DataFrame, DataFra
     h = _hash(F.col(f"`{key}`"))
     names = [F.col(f"`{c}`") for c in df.columns]
     at = F.bitmap_bit_position(h)
-    marked = df.withColumn("__k", F.bitmap_bucket_number(h)).join(F.broadcast(bloom.select(F.col("k").alias("__k"), F.col("bits").alias("__bits"))), "__k", "left")
-    byte = F.conv(F.hex(F.col("__bits").substr(F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    k, b = unused(df.columns, "bloom_k"), unused(df.columns, "bloom_bits")
+    marked = df.withColumn(k, F.bitmap_bucket_number(h)).join(F.broadcast(bloom.select(F.col("k").alias(k), F.col("bits").alias(b))), k, "left")
+    byte = F.conv(F.hex(F.col(b).substr(F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False)) & F.col(f"`{key}`").isNotNull()
     return marked.filter(~on).select(*names), marked.filter(on).select(*names)
 

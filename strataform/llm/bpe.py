@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataform.llm.names import unused
 from strataform.session import lean, ship_package
 
 #: Words of a partition that are kept with their encodings before it starts afresh.
@@ -291,7 +292,8 @@ def _with_columns(df: DataFrame, text_col: str, fields: list[pa.Field], make) ->
     names = [f.name for f in fields]
     kept = [c for c in df.columns if c not in names]
     add_text = text_col not in kept
-    source = df.select(*(F.col(f"`{c}`") for c in kept), *([F.col(f"`{text_col}`").alias("__text")] if add_text else []))
+    text = unused(kept, "text_read") if add_text else text_col
+    source = df.select(*(F.col(f"`{c}`") for c in kept), *([F.col(f"`{text_col}`").alias(text)] if add_text else []))
     out = df.select(*(F.col(f"`{c}`") for c in kept))
     from pyspark.sql.pandas.types import from_arrow_type
 
@@ -301,7 +303,7 @@ def _with_columns(df: DataFrame, text_col: str, fields: list[pa.Field], make) ->
     def run(batches):
         try:
             for batch in batches:
-                texts = batch.column("__text" if add_text else text_col).to_pylist()
+                texts = batch.column(text).to_pylist()
                 for a, b in _chunks(texts):
                     part = batch.slice(a, b - a)
                     made = make(texts[a:b])

@@ -33,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataform.session import lean, ship_package
+from strataform.llm.names import unused
+from strataform.session import lean, materialize, ship_package
 
 WINDOW = 10
 #: Patterns that one pass searches for: at 10 words about 4 MB of patterns and 20 MB of tables.
 BLOCK_PATTERNS = 50_000
+#: Blocks that one task searches before what it found is written; each has a Python worker of its own.
+CHAIN = 4
 #: Bytes of text searched at once.
 BATCH_BYTES = 16_000_000
 
@@ -204,19 +207,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     made = ["n_words", "n_hit", "items", "contaminated"]
     kept = [c for c in docs.columns if c not in made]
     fields = [docs.schema[c] for c in kept]
-    text = text_col if text_col in kept else "__text"
-    state = [T.StructField("__text", T.StringType())] * (text == "__text") + [T.StructField("__hits", T.BinaryType()), T.StructField("__items", T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType())]
-    df = docs.select(*(F.col(f"`{c}`") for c in kept), *([F.col(f"`{text_col}`").alias("__text")] if text == "__text" else []), F.lit(None).cast("binary").alias("__hits"), F.lit(None).cast("array<bigint>").alias("__items"), F.lit(0).cast("long").alias("n_words"))
+    text = text_col if text_col in kept else unused(kept, "text_read")
+    hit_name, item_name = unused(kept, "hits_so_far"), unused(kept, "items_so_far")
+    own = text != text_col
+    state = [T.StructField(text, T.StringType())] * own + [T.StructField(hit_name, T.BinaryType()), T.StructField(item_name, T.ArrayType(T.LongType())), T.StructField("n_words", T.LongType())]
+    df = docs.select(*(F.col(f"`{c}`") for c in kept), *([F.col(f"`{text_col}`").alias(text)] if own else []), F.lit(None).cast("binary").alias(hit_name), F.lit(None).cast("array<bigint>").alias(item_name), F.lit(0).cast("long").alias("n_words"))
     middle = T.StructType([*fields, *state])
     final = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType())), T.StructField("contaminated", T.BooleanType())])
     sent = [spark.sparkContext.broadcast(b) for b in pattern_blocks(benchmark, item_col, item_text_col, window, block_patterns)]
     for k, block in enumerate(sent):
         last = k == len(sent) - 1
-        df = df.mapInArrow(_pass(block, kept, text, last), final if last else middle)
+        df = df.mapInArrow(_pass(block, kept, text, own, hit_name, item_name, last), final if last else middle)
+        if k % CHAIN == CHAIN - 1 and not last:
+            df = materialize(spark, df, "scanned")  # so many blocks at once in a task, however many there are
     return df
 
 
-def _pass(sent, kept: list[str], text: str, last: bool):
+def _pass(sent, kept: list[str], text: str, add_text: bool, hit_name: str, item_name: str, last: bool):
     """Search one block of patterns and merge what earlier blocks have found."""
 
     def run(batches):
@@ -231,7 +238,7 @@ def _pass(sent, kept: list[str], text: str, last: bool):
                 part, size = batch.slice(a, i + 1 - a), 0
                 counts, hits, found = searcher.batch(texts[a : i + 1])
                 a = i + 1
-                hit_col, item_col = part.column("__hits").to_pylist(), part.column("__items").to_pylist()
+                hit_col, item_col = part.column(hit_name).to_pylist(), part.column(item_name).to_pylist()
                 for d in hits:
                     before = np.frombuffer(hit_col[d], np.int64) if hit_col[d] else hits[d][:0]
                     hit_col[d] = np.union1d(before, hits[d]).astype(np.int64).tobytes()
@@ -241,8 +248,8 @@ def _pass(sent, kept: list[str], text: str, last: bool):
                     n_hit = [len(h or b"") // 8 for h in hit_col]
                     yield pa.RecordBatch.from_arrays([*rows, pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([x or [] for x in item_col], pa.list_(pa.int64())), pa.array([n > 0 for n in n_hit], pa.bool_())], [*kept, "n_words", "n_hit", "items", "contaminated"])
                 else:
-                    own = [part.column("__text")] if text == "__text" else []
-                    yield pa.RecordBatch.from_arrays([*rows, *own, pa.array(hit_col, pa.binary()), pa.array(item_col, pa.list_(pa.int64())), pa.array(counts, pa.int64())], [*kept, *(["__text"] if own else []), "__hits", "__items", "n_words"])
+                    own = [part.column(text)] if add_text else []
+                    yield pa.RecordBatch.from_arrays([*rows, *own, pa.array(hit_col, pa.binary()), pa.array(item_col, pa.list_(pa.int64())), pa.array(counts, pa.int64())], [*kept, *([text] if own else []), hit_name, item_name, "n_words"])
 
     return lean(run)
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform.llm import gru
+from strataform.llm.names import unused
 from strataform.session import lean, ship_package
 
 HIDDEN = 8
@@ -149,14 +150,14 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     made = ["lang_pred", "score"]
     kept = [c for c in docs.columns if c not in made]
-    own = text_col in kept
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), *([] if own else [F.col(f"`{text_col}`").alias("__text")]))
+    text = text_col if text_col in kept else unused(kept, "text_read")
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), *([] if text == text_col else [F.col(f"`{text_col}`").alias(text)]))
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         model = sent.value
         for batch in batches:
-            texts = batch.column(text_col if own else "__text").to_pylist()
+            texts = batch.column(text).to_pylist()
             for a in range(0, len(texts), 2000):
                 some = texts[a : a + 2000]
                 letters = [t is not None and any(map(str.isalpha, t)) for t in some]

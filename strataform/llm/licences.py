@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from strataform.llm import shingles
 from strataform.llm.linededup import grams, normal
+from strataform.llm.names import unused
 from strataform.session import lean, ship_package
 
 K, BLOCK, HASHES, HITS, PERCENT = 6, 32, 64, 2, 80
@@ -219,8 +220,8 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, percent:
         templates = template_rows(templates)
     made = ["n_windows", "licences", "spots"]
     kept = [c for c in docs.columns if c not in made]
-    own = text_col in kept
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), *([] if own else [F.col(f"`{text_col}`").alias("__text")]))
+    text = text_col if text_col in kept else unused(kept, "text_read")
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), *([] if text == text_col else [F.col(f"`{text_col}`").alias(text)]))
     spot = T.StructType([T.StructField("name", T.StringType()), T.StructField("percent", T.LongType()), T.StructField("at", T.LongType())])
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("n_windows", T.LongType()), T.StructField("licences", T.ArrayType(T.StringType())), T.StructField("spots", T.ArrayType(spot))])
     spot_type = pa.list_(pa.struct([("name", pa.string()), ("percent", pa.int64()), ("at", pa.int64())]))
@@ -228,7 +229,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates=TEMPLATES, percent:
     def run(batches):
         scanner = Scanner(templates, percent)
         for batch in batches:
-            texts = batch.column(text_col if own else "__text").to_pylist()
+            texts = batch.column(text).to_pylist()
             for a, b in shingles.pieces(texts, 1_000_000):
                 windows, found = scanner.scan(texts[a:b])
                 names = [sorted({scanner.names[t] for t, _, _ in m}) for m in found]

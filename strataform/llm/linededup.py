@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform.llm import bloom, shingles
-from strataform.llm.components import components, min_labels
+from strataform.llm.components import components
+from strataform.llm.names import unused
 from strataform.session import lean, materialize, ship_package
 
 K, BANDS, ROWS, PERCENT = 8, 11, 3, 75
@@ -477,13 +478,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 _BLANK = " \t\n\r\x0b\x0c"
 
 
-def _rebuild(names: list[str], text_col: str):
+def _rebuild(names: list[str], text_col: str, lines_col: str):
     """Documents without the lines listed for them."""
 
     def run(batches):
         for b in batches:
             out, total, lost = [], [], []
-            for t, gone in zip(b.column(text_col).to_pylist(), b.column("__lines").to_pylist(), strict=True):
+            for t, gone in zip(b.column(text_col).to_pylist(), b.column(lines_col).to_pylist(), strict=True):
                 lines = t.split("\n") if t else []
                 total.append(sum(x.strip(_BLANK) != "" for x in lines))
                 if not gone or not t:
@@ -509,7 +510,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made))
     names = [*base.columns, *made]
     schema = T.StructType([*base.schema.fields, *(T.StructField(c, T.LongType()) for c in made)])
+    own_id, own_lines = unused(base.columns, "removal_id"), unused(base.columns, "removal_lines")
     clear, maybe = bloom.split(base, id_col, bloom.build(gone, "doc_id", "line_bloom"))
-    hit = maybe.join(gone.select(F.col("doc_id").alias("__id"), F.col("lines").alias("__lines")), F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left").drop("__id")
+    hit = maybe.join(gone.select(F.col("doc_id").alias(own_id), F.col("lines").alias(own_lines)), F.col(f"`{id_col}`").cast("long") == F.col(own_id), "left").drop(own_id)
     whole = clear.withColumn("n_lines", F.size(filled).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
-    return whole.unionByName(hit.mapInArrow(_rebuild(names, text_col), schema))
+    return whole.unionByName(hit.mapInArrow(_rebuild(names, text_col, own_lines), schema))

@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from strataform.llm import bloom, shingles
 from strataform.llm.components import components
+from strataform.llm.names import unused
 from strataform.session import lean, materialize, ship_package
 
 WIDTH, PERCENT = 5, 75
@@ -416,7 +417,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one document of each group, the one with the smallest id. Rows of one id stay or go together."""
     rows = link(docs, id_col, text_col, **options)
-    gone = materialize(docs.sparkSession, rows.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    clear, maybe = bloom.split(docs, id_col, bloom.build(gone, "__gone", "gone_bloom"))
-    kept = maybe.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    name = unused(docs.columns, "gone")
+    gone = materialize(docs.sparkSession, rows.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct(), "gone")
+    clear, maybe = bloom.split(docs, id_col, bloom.build(gone, name, "gone_bloom"))
+    kept = maybe.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")
     return clear.unionByName(kept)

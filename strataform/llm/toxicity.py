@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform.llm import gru, shingles
+from strataform.llm.names import unused
 from strataform.session import lean, release_memory, ship_package
 
 WINDOW, STRIDE = 64, 32
@@ -306,14 +307,14 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
     made = ["score", "predicted"]
     kept = [c for c in docs.columns if c not in made]
-    own = text_col in kept
-    source = docs.select(*(F.col(f"`{c}`") for c in kept), *([] if own else [F.col(f"`{text_col}`").alias("__text")]))
+    text = text_col if text_col in kept else unused(kept, "text_read")
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), *([] if text == text_col else [F.col(f"`{text_col}`").alias(text)]))
     schema = T.StructType([*(source.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
-            texts = batch.column(text_col if own else "__text").to_pylist()
+            texts = batch.column(text).to_pylist()
             for a, b in shingles.pieces(texts, 2_000_000):
                 s = scorer.scores(texts[a:b])
                 part = batch.slice(a, b - a)

@@ -7,7 +7,12 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from strataform.llm import components, linededup, ngram_join, suffixdedup
+from strataform.llm import bpe, components, decontam, langid, linededup, ngram_join, queries, suffixdedup, toxicity
+
+
+@pytest.fixture(scope="module")
+def spec_of_words():
+    return queries.tokenizer_spec()
 
 
 def words(t):
@@ -275,3 +280,28 @@ def test_components_of_hubs_and_paths(spark, monkeypatch, at_once):
     edges = [(k + 1, k) for k in range(50)] + [(1000, 2000 + k) for k in range(300)] + [(9, 9), (None, 3)]
     got = {r.node: r.component for r in components.components(spark, spark.createDataFrame(edges, "a long, b long").repartition(7), "a", "b").collect()}
     assert got == {k: 0 for k in range(1, 51)} | {2000 + k: 1000 for k in range(300)}
+
+
+CLASHES = ["bloom_k", "BLOOM_BITS", "removal_id", "removal_lines", "gone", "text_read", "hits_so_far", "items_so_far", "_gone", "k", "bits", "doc"]
+
+
+def test_columns_with_the_names_that_operators_use(spark, docs_of, spec_of_words):
+    docs = docs_of([(1, "a b c d e f\nx"), (2, "a b c d e f\nx"), (3, None), (4, "")])
+    odd = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    bench = spark.createDataFrame([(7, "b c d")], "item_id long, text string")
+    for out in (linededup.dedup_lines(odd), ngram_join.keep_one(odd), decontam.decontaminate(odd, bench), bpe.encode(odd, spec_of_words), toxicity.score(odd, {}), langid.predict(odd, langid.train([], []))):
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASHES)
+    # a text column whose name an operator writes
+    renamed = odd.withColumnRenamed("text", "score")
+    assert [r.text_read for r in toxicity.score(renamed, {}, text_col="score").collect()] == ["own text_read"] * 4
+
+
+def test_stages_of_many_pattern_blocks(spark, docs_of):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randrange(40)}" for _ in range(12))) for k in range(30)]
+    rows = [(k, " ".join(f"w{rng.randrange(40)}" for _ in range(30)) + (" " + items[k % 30][1] if k % 3 == 0 else "")) for k in range(40)] + [(99, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cols = ("doc_id", "n_words", "n_hit", "items", "contaminated")
+    one, many = (sorted(decontam.scan(docs_of(rows), bench, block_patterns=b).select(*cols).collect(), key=str) for b in (50_000, 9))
+    assert one == many and sum(r.contaminated for r in one) >= 14
