@@ -10,12 +10,12 @@ from strataform.plans import bindings as B
 from strataform.plans.bindings import with_
 from strataform.plans.q_detections import LIMIT_SQL, LIMITS
 from strataform.plans.query import query
-from strataform.session import shared_dir
+from strataform.session import written_dir
 from strataform.sources import rasters, records, scenes
 
 
 def _folder(s, name: str) -> str:
-    return f"{shared_dir(s)}/strataform/{name}-{uuid.uuid4().hex}"
+    return f"{written_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
 def _points(s, d):

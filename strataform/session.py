@@ -77,6 +77,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def written_dir(spark: SparkSession) -> str:
+    """This application's own folder of written tables."""
+    return f"{shared_dir(spark)}/strataform/{spark.sparkContext.applicationId}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete the written tables of this application. DataFrames that read them, results of operators among them, are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(written_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_memory() -> None:
     """Hand memory that this process has freed back to the system."""
     import ctypes
@@ -113,7 +124,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     The written table survives the loss of any executor. Shuffle files of the write are
     released as soon as it ends, so peak disk is one step's shuffle and not the sum.
     """
-    path = f"{shared_dir(spark)}/strataform/{name}-{uuid.uuid4().hex}"
+    path = f"{written_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in _WRITE_CONF}
     try:
         for k, v in _WRITE_CONF.items():
