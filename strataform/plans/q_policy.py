@@ -186,13 +186,13 @@ def x10(s, d):
     return r.select("frame_idx", "reason", value.alias("value"))
 
 
-SQL["proposal"] = "SELECT DISTINCT event_id % 40 AS view, CASE event_id % 7 WHEN 0 THEN ' Chair ' WHEN 1 THEN 'chairs' WHEN 2 THEN 'floor  lamp' WHEN 3 THEN 'PLANT' WHEN 4 THEN 'desk' WHEN 5 THEN 'glass' ELSE 'windows' END AS term FROM events WHERE user_id % 3 = 0"
+SQL["proposal"] = "SELECT DISTINCT event_id % 40 AS view, CASE event_id % 7 WHEN 0 THEN ' Chair ' WHEN 1 THEN 'chairs' WHEN 2 THEN 'floor  lamp' WHEN 3 THEN 'PLANT' WHEN 4 THEN 'desk' WHEN 5 THEN 'glass' ELSE 'windows' END AS term FROM events"
 
 
 @query("A31_vocabulary_union", with_("+ e AS (SELECT DISTINCT view, lower(trim(regexp_replace(term, '\\s+', ' ', 'g'))) AS term FROM proposal), m AS (SELECT DISTINCT view, coalesce(b.term, e.term) AS term FROM e LEFT JOIN (SELECT DISTINCT term FROM e) b ON e.term = b.term || 's') SELECT term, count(*) AS n_views FROM m GROUP BY 1", "proposal"))
 def a31(s, d):
     t = F.element_at(F.array(*map(F.lit, (" Chair ", "chairs", "floor  lamp", "PLANT", "desk", "glass", "windows"))), (F.col("event_id") % 7 + 1).cast("int"))
-    return X.vocabulary(table(s, d, "events").filter("user_id % 3 = 0").select((F.col("event_id") % 40).alias("view"), t.alias("term")))
+    return X.vocabulary(table(s, d, "events").select((F.col("event_id") % 40).alias("view"), t.alias("term")))
 
 
 @query("J24_absent_distractors", "SELECT t.term FROM (VALUES ('desk', 0), ('sofa', 1), ('plant', 2), ('stove', 3)) t(term, pos) WHERE term NOT IN ('chair', 'floor lamp', 'plant', 'desk', 'glass', 'windows')")
