@@ -1,7 +1,11 @@
 """BPE, media, decontamination, chat and licences against libraries, brute force and SQL."""
 
 import hashlib
+import io
+import itertools
+import math
 import random
+import wave
 import zlib
 
 import duckdb
@@ -79,6 +83,35 @@ def test_media_round_trip(docs_of, odd_rows):
     assert media.restore(*media.store(docs_of([]))).count() == 0
 
 
+def plain_feature(data):
+    """Mean, deviation, sign changes and the energy of quarters, one sample at a time."""
+    x = [b - 128 for b in data]
+    mean = sum(x) / len(x)
+    std = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x))
+    turns = sum((a < 0) != (b < 0) for a, b in itertools.pairwise(x))
+    size, extra = divmod(len(x), 4)
+    ends = list(itertools.accumulate([0, *(size + (k < extra) for k in range(4))]))
+    energy = [sum(v * v for v in x[a:b]) / (b - a) for a, b in itertools.pairwise(ends)]
+    return [mean, std, 1000 * turns / len(x), *energy]
+
+
+def test_media_of_the_table(spark, small, table_rows):
+    """Every column: the stored form is a sound file that the standard library reads, and the rest is computed from its samples."""
+    got = {r.doc_id: r for r in queries.op3_media(spark, small).collect()}
+    assert len(got) == len(table_rows)
+    for i, t in table_rows:
+        raw = (t or "").encode()
+        data = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        stored = media.to_wave(data)
+        with wave.open(io.BytesIO(stored)) as w:
+            assert (w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())) == (1, 1, data)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        shown = [float(v) for part in r.feature.split(";") for v in part.split(",")]
+        assert all(abs(a - b) <= 0.0501 for a, b in zip(shown, plain_feature(data), strict=True))
+
+
 def test_a_lost_chunk_is_an_error(docs_of, odd_rows):
     m, chunks = media.store(docs_of(odd_rows), least=256, average=1024, most=4096)
     with pytest.raises(Exception, match="chunk"):
