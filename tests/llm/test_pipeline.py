@@ -1,5 +1,7 @@
 """The pipeline's stages against plain computations on their own inputs, and the driver's entry."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from strataform.llm import decontam, toxicity
 from strataform.session import materialize
@@ -37,6 +39,19 @@ def test_stages(spark, small):
     assert last.count() == len(found) and "n_tokens" in last.columns
 
 
+def test_stages_of_odd_rows_and_of_none(spark, small, docs_of, odd_rows):
+    """Nulls, empty and very long texts, repeated rows, columns with the names that stages write, and an empty table."""
+    odd = docs_of(odd_rows).withColumns({c: F.lit("own") for c in ("score", "n_lines", "component_id", "contaminated", "gone")})
+    for docs, some in ((odd, True), (odd.limit(0), False)):
+        for name, stage in P.STAGES:
+            docs = materialize(spark, stage(spark, docs, small), f"odd_{name}")
+            if name != "bpe":
+                assert docs.columns == list(P.COLUMNS)
+        ids = [r.doc_id for r in docs.collect()]
+        assert set(ids) >= {1, 2, 3, 4, 10, None} if some else not ids
+        assert 7 not in ids  # nearly equal to 5
+
+
 def test_entry_has_every_query(spark, small):
     import re
 
