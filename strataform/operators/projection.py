@@ -232,6 +232,11 @@ def smooth_step(d: Column, edge0: float, edge1: float) -> Column:
     return t * t * (3 - 2 * t)
 
 
+def fade(distance: Column, near: float, far: float) -> Column:
+    """Opacity of a label by distance: whole up to `near`, gone from `far` on, a straight line between."""
+    return F.least(F.greatest(1 - (distance - near) / (far - near), F.lit(0.0)), F.lit(1.0))
+
+
 def pick(points: DataFrame, origin: Sequence[float], direction: Sequence[float], size: float, limit: float = 0.5) -> DataFrame:
     """The first point along a ray at which accumulated opacity reaches `limit`.
 
