@@ -374,3 +374,84 @@ def m09(s, d):
 def e08(s, d):
     r4 = lambda c: (F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c)
     return clustering.moments(B.instance(s, d), "instance_id").select("instance_id", "n", r4("w"), r4("mxx"), r4("myz"))
+
+
+#: A bundle whose stored numbers are whole-number rules of a point's place, so that SQL knows them.
+_LO, _HI = (-1.0, -2.0, 0.0), (2.0, 1.0, 3.0)
+_STORED = {a: f"(k * {f}) % 65536" for a, f in zip("xyz", (7919, 104729, 1299709), strict=True)}
+
+
+def _bundle(s, d) -> str:
+    import io
+    import zipfile
+
+    import numpy as np
+
+    n = B.gaussian(s, d).count()
+    side = math.ceil(math.sqrt(n))
+    k = np.arange(n, dtype=np.int64)
+    stored = np.stack([k * 7919 % 65536, k * 104729 % 65536, k * 1299709 % 65536], axis=1)
+
+    def plane(*channels):
+        out = np.zeros((side * side, 4), np.uint8)
+        for c, v in enumerate(channels):
+            out[:n, c] = v
+        return rasters.encode_png(out.reshape(side, side, 4))
+
+    table = np.zeros((64 * 3, 4), np.uint8)
+    table[:, 0] = np.arange(64 * 3) % 4
+    pictures = {
+        "low.png": plane(*(stored % 256).T),
+        "high.png": plane(*(stored // 256).T),
+        "scale.png": plane(k % 3, (k + 1) % 3, (k + 2) % 3),
+        "quat.png": plane(100 + k % 20, 120 + k % 10, 140 - k % 15, 252 + k % 4),
+        "base.png": plane(k % 4, k % 4, k % 4, k % 256),
+        "palette.png": rasters.encode_png(table.reshape(1, -1, 4)),
+        "label.png": plane(k % 64),
+    }
+    meta = {"version": 2, "count": n, "means": {"files": ["low.png", "high.png"], "mins": _LO, "maxs": _HI}, "scales": {"files": ["scale.png"], "codebook": [-2.0, -1.0, 0.0]}, "quats": {"files": ["quat.png"]}, "sh0": {"files": ["base.png"], "codebook": [0.1, 0.2, 0.3, 0.4]}, "shN": {"bands": 1, "files": ["palette.png", "label.png"], "codebook": [5, 6, 7, 8]}}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("meta.json", json.dumps(meta))
+        for name, raw in pictures.items():
+            z.writestr(name, raw)
+    path = _local("scene.sog")
+    with open(path, "wb") as f:
+        f.write(out.getvalue())
+    return f"file://{path}"
+
+
+SQL["place"] = "SELECT row_number() OVER (ORDER BY gid) - 1 AS k FROM gaussian"
+B.USES["place"] = ("gaussian",)
+
+
+@query("S02_bundle_means", with_(f"SELECT k AS gid, {', '.join(f'{e} AS q{a}' for a, e in _STORED.items())}, k % 256 AS opacity FROM place", "place"))
+def s02(s, d):
+    def back(a, lo, hi):
+        v = F.signum(a) * F.log1p(F.abs(F.col(a).cast("double")))
+        return F.round((v - lo) / (hi - lo) * 65535).cast("long").alias(f"q{a}")
+
+    rows = scenes.read_scene(s, _bundle(s, d))
+    return rows.select("gid", *(back(a, lo, hi) for a, lo, hi in zip("xyz", _LO, _HI, strict=True)), F.round(F.col("opacity") * 255).cast("long").alias("opacity"))
+
+
+@query("S03_raster_order", with_("SELECT k AS gid, k % 3 AS scale FROM place", "place"))
+def s03(s, d):
+    return scenes.read_scene(s, _bundle(s, d)).select("gid", (F.round(F.log("sx")) + 2).cast("long").alias("scale"))
+
+
+@query("S04_bundle_quaternions", with_("SELECT k AS gid, k % 4 AS largest, 100 + k % 20 AS a, 120 + k % 10 AS b, 140 - k % 15 AS c FROM place", "place"))
+def s04(s, d):
+    q = F.array("qw", "qx", "qy", "qz")
+    rows = scenes.read_scene(s, _bundle(s, d)).select("gid", q.alias("q"))
+    rest = lambda k: [c for c in range(4) if c != k]
+    at = (F.array_position("q", F.array_max("q")) - 1).cast("long")
+    stored = lambda j: F.round((F.element_at(F.array(*(F.col("q")[rest(k)[j]] for k in range(4))), (F.col("largest") + 1).cast("int")).cast("double") / math.sqrt(2) + 0.5) * 255).cast("long")
+    return rows.withColumn("largest", at).select("gid", "largest", *(stored(j).alias(n) for j, n in enumerate("abc")))
+
+
+@query("S05_palette_gather", with_("SELECT k AS gid, k % 4 + 1 AS base, (k % 64) * 3 % 4 + 5 AS first, ((k % 64) * 3 + 2) % 4 + 5 AS last, 4 AS coefficients FROM place", "place"))
+def s05(s, d):
+    sh = lambda j: F.col("sh")[j][0]
+    rows = scenes.read_scene(s, _bundle(s, d))
+    return rows.select("gid", F.round(sh(0) * 10).cast("long").alias("base"), F.round(sh(1)).cast("long").alias("first"), F.round(sh(3)).cast("long").alias("last"), F.size("sh").alias("coefficients"))
