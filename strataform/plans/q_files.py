@@ -86,7 +86,7 @@ def s12(s, d):
     out = _folder(s, "depth")
     maps = R.depth_map(QA.projected(s, d))
     _write(scenes.write_files(rasters.depth_files(maps, 64, 48, F.format_string("depth_%04d.npy", "frame_idx")), F.col("name"), out))
-    return rasters.read_depths(s, f"{out}/*.npy").select(rasters.frame_of(F.col("path")).alias("frame_idx"), "u", "v", "d")
+    return rasters.read_depths(s, out).select(rasters.frame_of(F.col("path")).alias("frame_idx"), "u", "v", "d")
 
 
 _BOX_ROWS = ", ".join(f"('{n}', {', '.join(f'{v}::DOUBLE' for v in (*lo, *hi))})" for n, lo, hi in B.BOXES)
