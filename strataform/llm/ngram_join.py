@@ -360,13 +360,15 @@ class _Join:
 
     def residue(self, large: DataFrame, first: DataFrame) -> DataFrame:
         """Pairs of large groups that are not connected by the links found so far and pass all filters."""
-        own = self.classes.select(F.col("hi").alias("cid"), "rep", "sketch")
+        own = self.classes.select(F.col("hi").alias("cid"), "rep")
         comp = F.coalesce("component", "rep").alias("comp")
-        rows = large.select(F.col("a").alias("shingle"), F.col("b").alias("cid"), "at").distinct().join(own, "cid").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("shingle", "at", "rep", "sketch", comp)
+        rows = large.select(F.col("a").alias("shingle"), F.col("b").alias("cid"), "at").distinct().join(own, "cid").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("shingle", "at", "cid", "rep", comp)
         rows = materialize(self.spark, rows, "large")
         open_ = rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g")).filter("low < high")
         open_ = open_.select("shingle", F.ceil(F.col("g") / self.block).cast("int").alias("blocks"))
-        dealt = rows.join(open_, "shingle").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        # sketches, the wide column, only go with rows of groups that are compared
+        dealt = rows.join(open_, "shingle").join(self.classes.select(F.col("hi").alias("cid"), "sketch"), "cid")
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("shingle", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "comp", "at", "sketch")
         return dealt.repartition("shingle", "bi", "bj").mapInArrow(_block_pairs(self.percent), "a long, b long").distinct()
@@ -374,14 +376,17 @@ class _Join:
     def near(self, pairs: DataFrame, name: str, comp: DataFrame | None = None) -> DataFrame:
         """Pairs of classes (by `hi`) as pairs of representatives, where the suffix filter passes and `comp` does not connect them yet."""
 
-        def side(k):
-            own = self.classes.select(F.col("hi").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-            if comp is None:
-                return own
-            own = own.join(comp.select(F.col("node").alias(f"rep_{k}"), F.col("component").alias(f"comp_{k}")), f"rep_{k}", "left")
-            return own.withColumn(f"comp_{k}", F.coalesce(f"comp_{k}", f"rep_{k}"))
-
-        joined = pairs.join(side("a"), "a").join(side("b"), "b").filter("rep_a <> rep_b" if comp is None else "comp_a <> comp_b")
+        def side(k, *cols):
+            return self.classes.select(F.col("hi").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
+
+        if comp is None:
+            joined = pairs.join(side("a", "rep", "n", "sketch"), "a").join(side("b", "rep", "n", "sketch"), "b").filter("rep_a <> rep_b")
+        else:  # most pairs are connected by now: sketches, the wide columns, only join the others
+            joined = pairs
+            for k in "ab":
+                own = comp.select(F.col("node").alias(f"rep_{k}"), F.col("component").alias(f"comp_{k}"))
+                joined = joined.join(side(k, "rep").join(own, f"rep_{k}", "left").withColumn(f"comp_{k}", F.coalesce(f"comp_{k}", f"rep_{k}")), k)
+            joined = joined.filter("comp_a <> comp_b").join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
         return materialize(self.spark, joined.mapInArrow(_suffix_filter(self.percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
 
     def connected(self) -> DataFrame:
