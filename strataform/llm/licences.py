@@ -150,6 +150,15 @@ class Scanner:
         pair = pair[hits >= HITS]
         return pair // len(self.names), pair % len(self.names)
 
+    def _held(self, t: int, window: np.ndarray) -> int:
+        """Shingles of a template that lie in a window."""
+        own = self.sets[t]  # sorted
+        at = np.searchsorted(own, window)
+        at[at == len(own)] = 0
+        found = np.zeros(len(own), bool)
+        found[at[own[at] == window]] = True
+        return int(found.sum())
+
     def scan(self, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int, int]]]]:
         """For each text the number of windows, and its spots: template, shingles held by the best window, that window's first character."""
         lines = [normal(t) if t else "" for t in texts]
@@ -176,17 +185,21 @@ class Scanner:
                 low[a : a + step, r] = np.minimum.reduceat(part * self.mul[r] + self.add[r], at - at[0])
         last = (first + blocks - 1)[doc]
         verified: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        own = np.arange(len(doc))
         for level in range(1, max(self.level) + 1):
-            low = np.minimum(low, low[np.minimum(np.arange(len(doc)) + (1 << (level - 1)), last)])
-            own = np.flatnonzero(number % (1 << (level - 1)) == 0)
+            # windows of this level begin at every half of one; its other half is the next such place of the level before
+            rows = np.flatnonzero(number[own] % (1 << (level - 1)) == 0)
+            more = own[rows] + (1 << (level - 1)) <= last[own[rows]]
+            low = np.minimum(low[rows], low[np.where(more, rows + min(level, 2), rows)])
+            own = own[rows]
             for k, n in enumerate(np.bincount(doc[own], minlength=len(some)).tolist()):
                 n_windows[some[k]] += n
             for a in range(0, len(own) if level in self.bands else 0, 8192):
-                window, template = self._candidates(level, low[own[a : a + 8192]])
+                window, template = self._candidates(level, low[a : a + 8192])
                 for w, t in zip(own[a + window].tolist(), template.tolist(), strict=True):
                     d = int(doc[w])
                     stop = min(int(start[w]) + (BLOCK << level), int(bounds[d + 1]))
-                    held = int(np.isin(self.sets[t], g[start[w] : stop]).sum())
+                    held = self._held(t, g[start[w] : stop])
                     if 100 * held >= self.percent * len(self.sets[t]):
                         verified.setdefault((d, t), []).append((int(start[w] - bounds[d]), int(stop - bounds[d]), held))
         for (d, t), windows in sorted(verified.items()):
